@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.common import table
+from phasegrid.llm import lines, mixing, secrets, tokens, warc
 from phasegrid.llm.decontaminate import decontaminate
 
 
@@ -16,8 +17,44 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from each document, its source as the site."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = lines.drop_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document."""
+    out = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.joined(F.col("secrets"), secrets.KINDS[: secrets.BASE]), 256)
+    return out.select("doc_id", *map(number, secrets.KINDS[: secrets.BASE]), base.alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by encoded length, with their suffix sums."""
+    return tokens.length_table(table(spark, sf_dir, "documents").select("text"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read back from the archives written of all pages."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document, and the positions of its copies."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}
