@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.common import table
-from phasegrid.llm import lines, mixing, secrets, tokens, warc
+from phasegrid.llm import embeddings, lines, minhash, mixing, secrets, tokens, warc
 from phasegrid.llm.decontaminate import decontaminate
 
 
@@ -32,6 +32,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(number, secrets.KINDS[: secrets.BASE]), base.alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of a label with a cosine of 0.98."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens by encoded length, with their suffix sums."""
     return tokens.length_table(table(spark, sf_dir, "documents").select("text"))
@@ -48,13 +53,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles are 80 % alike."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("print")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
