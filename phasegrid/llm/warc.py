@@ -7,8 +7,8 @@ splits. Payloads move once, by page id, to meet the decision on their page.
 
 A record is a header block, an empty line, a block and two line ends. Spark's
 text writer, with those two line ends as its separator, so writes valid
-uncompressed WARC files to any file system, under its commit protocol: a task
-that is run again leaves no second copy. Files hold as many records as make
+WARC files to any file system, under its commit protocol: a task that is run
+again leaves no second copy. Each file is one gzip stream. Files hold as many records as make
 `file_bytes` on average, so that a reader takes them one at a time.
 
 Defined cases: a null html is an empty payload; a null url is an empty one;
@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = MIN_BYTES, f
     html = names.get("html", "html")
     size = pages.agg(F.avg(F.coalesce(F.octet_length(f"`{html}`"), F.lit(0))).alias("b")).first()["b"] or 0
     each = max(1, int(file_bytes / (size + 600)))
-    records(pages, min_bytes=min_bytes, **names).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    records(pages, min_bytes=min_bytes, **names).write.option("lineSep", END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 ROW = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -108,13 +108,14 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) ->
     ddl = ROW + (", html string" if payloads else "")
 
     def rows(batches):
+        import gzip
         import hashlib
 
         kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + ([("html", pa.string())] if payloads else []))
         for b in batches:
             for raw in b.column(0):
                 out = []
-                for head, block in parse(raw.as_py()):
+                for head, block in parse(gzip.decompress(raw.as_py())):
                     http, _, body = block.partition(b"\r\n\r\n")
                     type_, digest = head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
                     if type_ == "response" and hashlib.sha256(body).hexdigest() != digest:
