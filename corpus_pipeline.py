@@ -1,13 +1,78 @@
-"""The corpus pipeline: five operators in a row over `documents`."""
+"""The corpus pipeline: five operators in a row over `documents`.
+
+A stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
+of documents; the last returns the training run. Stages stand alone: each works
+on whatever table of documents it is given.
+
+- quality: documents that importance resampling rejects go.
+- line_dedup: boilerplate lines of a source go from the texts.
+- near_dedup: of documents that are near copies (shingles of five words,
+  similarity 0.8) the one with the least id stays.
+- decontamination: words inside benchmark windows go from the texts, and
+  documents with two or more benchmark items go whole.
+- mixing: documents are repeated to their source's target and ordered along
+  the curriculum; copy, position and take (words) come with each.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phasegrid.llm import lines, minhash, mixing, quality
+from phasegrid.llm.common import shared_path, table
+from phasegrid.llm.decontaminate import decontaminate
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return found.filter("kept").select(*docs.columns)
+
+
+def _new_text(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs' columns, the text replaced where the operator changed it."""
+    changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("clean_text")).alias("text")
+    size = F.when(changed & F.col("text").isNotNull(), F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*[{"text": text, "n_chars": size}.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _new_text(lines.drop_lines(docs), docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs, width=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _new_text(found.filter("NOT contaminated"), docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(docs)
+
 
-STAGES: list = []
-#: Stages score and hash in Python; SQL can't express them.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+#: The first stage hashes n-grams and draws noise in ways SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage; every stage but it is written as Parquet in
+    the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_path(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -83,7 +83,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     take = lambda p: F.greatest(F.lit(0), F.least(F.col(size), F.col(due) - p * whole - F.col(at))).cast("long")
     share = lambda p: (p * whole + F.col(at)) / F.nullif(F.col(due), F.lit(0)).cast("double")
     time = lambda y: F.when(a == 0, y).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / F.nullif(2 * a, F.lit(0.0)))
-    copies = F.filter(F.array(*[F.struct(time(share(p)).alias("position"), take(p).alias("take")) for p in range(cap)]), lambda x: x["take"] > 0)
+    copies = F.filter(F.array(*[F.struct((time(share(p)) + F.lit(0.0)).alias("position"), take(p).alias("take")) for p in range(cap)]), lambda x: x["take"] > 0)
     (made,) = aside(rows, "made")
     rows = rows.withColumn(made, copies)
     return rows.select(

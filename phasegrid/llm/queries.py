@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm.common import table
-from phasegrid.llm import embeddings, lines, minhash, mixing, secrets, tokens, warc
+from phasegrid.llm import embeddings, lines, minhash, mixing, quality, secrets, substrings, tokens, warc
 from phasegrid.llm.decontaminate import decontaminate
 
 
@@ -37,6 +37,18 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document covered by a repeated string of 200 bytes."""
+    out = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance, key and decision for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens by encoded length, with their suffix sums."""
     return tokens.length_table(table(spark, sf_dir, "documents").select("text"))
@@ -63,6 +75,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
