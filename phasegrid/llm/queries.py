@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phasegrid.llm.common import table
 from phasegrid.llm import embeddings, lines, minhash, mixing, quality, secrets, substrings, tokens, warc
 from phasegrid.llm.decontaminate import decontaminate
+from phasegrid.llm.oracle import ORACLES  # noqa: F401
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
 }
-
-ORACLES: dict[str, str] = {}
