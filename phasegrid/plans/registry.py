@@ -1,5 +1,5 @@
 """Names of all queries on the driver's tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from phasegrid.plans.queries import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "linear_rate"
