@@ -39,14 +39,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder: what follows doesn't depend
-    on the executors that made it. Shuffle files it no longer needs may go."""
-    shared_dir(df.sparkSession)
+    on the executors that made it. Shuffle files it no longer needs may go,
+    if the caller keeps no reference to what it gave."""
+    spark = df.sparkSession
+    shared_dir(spark)
     kept = df.checkpoint(eager=True)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return kept
 
 
+class Scratch:
+    """df as a Parquet table in the shared folder, for large results that are
+    read more than once; gone after drop()."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(name: str) -> Column:
     """The text of a column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

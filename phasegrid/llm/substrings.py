@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm.blocks import units
-from phasegrid.llm.common import aside, cut, strings
+from phasegrid.llm.common import Scratch, aside, cut, strings
 
 WINDOW, GRAM, HOT = 200, 100, 20_000
 
@@ -207,11 +207,13 @@ def _equal(table, hashes: Hashes):
 def repeats(docs: DataFrame) -> DataFrame:
     """uid, start and stop of covered bytes, for one copy of each text; they
     may overlap. docs: doc_id, text, uid; of WINDOW bytes at least."""
-    grams = _anchor_rows(docs)
+    scratch = Scratch(_anchor_rows(docs), "anchors")
+    grams = scratch.read()
     counts = grams.groupBy("gram").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.max("again").alias("again"), F.count(F.lit(1)).alias("f"))
     counts = counts.filter("lo != hi OR again").select(F.bitwise_not("gram").alias("k"), (F.col("f") > HOT).alias("hot"))
     found = grams.select("uid", F.bitwise_not("gram").alias("k")).join(counts, "k")
     found = cut(found.groupBy("uid").agg(F.collect_set(F.when(~F.col("hot"), F.bitwise_not("k"))).alias("grams"), F.collect_set(F.when(F.col("hot"), F.bitwise_not("k"))).alias("hots")))
+    scratch.drop()
     one = docs.groupBy("uid").agg(F.min("doc_id").alias("id")).withColumnRenamed("uid", "u")
     wanted = found.join(one, F.col("uid") == F.col("u")).select("u", "id", "grams", "hots")
 
@@ -251,6 +253,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     spans = repeats(long).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     copies = long.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("uid").alias("twin"))
     facts = spans.join(copies, F.col("uid") == F.col("twin"), "full").select(F.bitwise_not(F.coalesce("uid", "twin")).alias("k"), F.when(F.col("twin").isNull(), F.col("spans")).alias("spans"), F.col("twin").isNotNull().alias("whole"))
+    facts = cut(facts)
     k, cuts, whole, made = aside(docs, "k", "cuts", "whole", "made")
     facts = facts.select(F.col("k").alias(k), F.col("spans").alias(cuts), F.col("whole").alias(whole))
     body = F.col(f"`{text}`").cast("string")
