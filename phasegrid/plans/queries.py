@@ -51,7 +51,8 @@ def query(sql: str | None = None, recursive: bool = False):
 
 
 def r(c, n: int = 6):
-    """Rounded, so that the order of sums doesn't show."""
+    """Rounded, so that the order of sums doesn't show: to where the exact
+    value is never, or hardly ever, half way."""
     return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
 
 
@@ -107,10 +108,10 @@ def multilook(spark, sf):
     return rasters.multilook(phase, GRID, 3, 2, 0.5).select("ifg_id", "row", "col", r("phase").alias("phase"))
 
 
-@query('SELECT ifg_id, ("row" // 5)::INT AS "row", (col // 5)::INT AS col, CASE WHEN avg((phase IS NULL)::INT) < 0.2 THEN round(avg(phase), 6) END AS phase FROM phase WHERE "row" // 5 < 2 AND col // 5 < 3 GROUP BY ifg_id, "row" // 5, col // 5')
+@query('SELECT ifg_id, ("row" // 5)::INT AS "row", (col // 5)::INT AS col, CASE WHEN avg((phase IS NULL)::INT) < 0.2 THEN round(avg(phase), 9) END AS phase FROM phase WHERE "row" // 5 < 2 AND col // 5 < 3 GROUP BY ifg_id, "row" // 5, col // 5')
 def block_mean(spark, sf):
     phase, _ = stack(spark, sf)
-    return rasters.multilook(phase, GRID, 5, 5, 0.2, strict=True).select("ifg_id", "row", "col", r("phase").alias("phase"))
+    return rasters.multilook(phase, GRID, 5, 5, 0.2, strict=True).select("ifg_id", "row", "col", r("phase", 9).alias("phase"))
 
 
 @query('SELECT ifg_id, "row" - 2 AS "row", col - 3 AS col, round(phase, 6) AS phase FROM phase WHERE "row" BETWEEN 2 AND 8 AND col BETWEEN 3 AND 11')
@@ -391,10 +392,10 @@ def reference_phase_chip(spark, sf):
     return reference.subtract(phase, ref).select("ifg_id", "row", "col", r("phase").alias("phase"))
 
 
-@query('SELECT ifg_id, round(avg(phase), 6) AS mean, round(stddev_pop(phase), 6) AS std FROM phase WHERE abs("row" - 6) <= 2 AND abs(col - 8) <= 2 GROUP BY ifg_id')
+@query('SELECT ifg_id, round(avg(phase), 9) AS mean, round(stddev_pop(phase), 6) AS std FROM phase WHERE abs("row" - 6) <= 2 AND abs(col - 8) <= 2 GROUP BY ifg_id')
 def reference_area(spark, sf):
     phase, _ = stack(spark, sf)
-    return reference.area_stats(phase, 6, 8, 5).select("ifg_id", r("mean").alias("mean"), r("std").alias("std"))
+    return reference.area_stats(phase, 6, 8, 5).select("ifg_id", r("mean", 9).alias("mean"), r("std").alias("std"))
 
 
 PLANE = """
@@ -569,16 +570,16 @@ def distance_covariance(spark, sf):
 LAGS = 'WITH z AS (SELECT ifg_id, "row", col, phase FROM phase WHERE phase IS NOT NULL AND phase <> 0), n AS (SELECT ifg_id, count(*) AS n FROM z GROUP BY ifg_id), g AS (SELECT a.ifg_id, b.col - a.col AS dx, b."row" - a."row" AS dy, sum(a.phase * b.phase) AS s FROM z a JOIN z b ON a.ifg_id = b.ifg_id AND b.col - a.col BETWEEN 0 AND 2 AND b."row" - a."row" BETWEEN -2 AND 2 GROUP BY ALL) '
 
 
-@query(LAGS + "SELECT ifg_id, dx, dy, round(s / n, 6) AS covariance FROM g JOIN n USING (ifg_id)")
+@query(LAGS + "SELECT ifg_id, dx, dy, round(s / n, 3) AS covariance FROM g JOIN n USING (ifg_id)")
 def lag_covariance(spark, sf):
     phase, _ = stack(spark, sf)
-    return aps.lag_covariance(phase, 2).select("ifg_id", "dx", "dy", r("covariance").alias("covariance"))
+    return aps.lag_covariance(phase, 2).select("ifg_id", "dx", "dy", r("covariance", 3).alias("covariance"))
 
 
-@query(LAGS + "SELECT ifg_id, ceil(sqrt((dx * 74.0::DOUBLE) ** 2 + (dy * 92.0::DOUBLE) ** 2) / 1000 / (92.0::DOUBLE * 2 / 1000))::INT AS bin, round(avg(s / n), 6) AS covariance FROM g JOIN n USING (ifg_id) GROUP BY ALL")
+@query(LAGS + "SELECT ifg_id, ceil(sqrt((dx * 74.0::DOUBLE) ** 2 + (dy * 92.0::DOUBLE) ** 2) / 1000 / (92.0::DOUBLE * 2 / 1000))::INT AS bin, round(avg(s / n), 3) AS covariance FROM g JOIN n USING (ifg_id) GROUP BY ALL")
 def binned_covariance(spark, sf):
     phase, _ = stack(spark, sf)
-    return aps.binned(aps.lag_covariance(phase, 2), GRID.x_size, GRID.y_size).select("ifg_id", "bin", r("covariance").alias("covariance"))
+    return aps.binned(aps.lag_covariance(phase, 2), GRID.x_size, GRID.y_size).select("ifg_id", "bin", r("covariance", 3).alias("covariance"))
 
 
 META = {"semi_major": 6378137.0, "semi_minor": 6356752.3141, "sar_to_earth": 7152000.0, "near_range": 820000.0, "range_pixel": 20.0, "heading": -165.0, "look_direction": 90.0}

@@ -27,7 +27,7 @@ def tables():
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else x + 0.0
     if isinstance(x, (list, tuple)):
         return [plain(y) for y in x]
     return str(x)[:10] if hasattr(x, "isoformat") else x
