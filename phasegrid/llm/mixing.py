@@ -48,12 +48,12 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     ranked = ranked.select("*", most, (most / F.col("weight")).alias("full_at"))
     order = Window.orderBy("full_at", "rank")
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = ranked.select(
-        "full_at",
-        ((F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)).alias("level"),
-    )
-    level = level.filter("level <= full_at").agg(F.min_by("level", "full_at").alias("level"))
-    return ranked.crossJoin(level).select("source", "source_size", "rank", F.least("most", F.col("level") * F.col("weight")).alias("target"))
+    total = F.sum("source_size").over(Window.partitionBy())
+    ranked = ranked.withColumn("level", (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
+    # The level is that of the first source, in this order, that it doesn't fill.
+    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(Window.partitionBy())
+    target = F.least("most", first["level"] * F.col("weight"))
+    return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, ramps=RAMPS, keep: list[str] | None = None) -> DataFrame:

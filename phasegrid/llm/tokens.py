@@ -14,6 +14,8 @@ empty table gives no rows; a null in `by` is a group.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from phasegrid.llm.common import aside, cut, strings
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 BLOCK = 512
+BLANKS = re.compile(r"\s{1000}")
 
 
 def default_path() -> str:
@@ -29,6 +32,16 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def length(codec, text: str, pattern: str) -> int:
+    """Tokens of a text. The codec's own pattern matcher overflows its stack
+    on very long runs of blanks; texts with one are split here instead."""
+    if not BLANKS.search(text):
+        return len(codec.encode_ordinary(text))
+    import regex
+
+    return sum(len(codec._encode_single_piece(m[0])) for m in regex.finditer(pattern, text))
+
+
 def n_tokens(docs: DataFrame, *, text: str = "text", path: str | None = None, name: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each text, by a byte-level BPE whose
     ranks stand in a file that only the driver needs."""
@@ -47,7 +60,7 @@ def n_tokens(docs: DataFrame, *, text: str = "text", path: str | None = None, na
         if not made:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.value.splitlines())}
             made.append(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}))
-        return pa.array([len(made[0].encode_ordinary(x.decode())) for x in strings(column)], pa.int64())
+        return pa.array([length(made[0], x.decode(), pattern) for x in strings(column)], pa.int64())
 
     return docs.withColumn(name, F.arrow_udf(count, "long").asNondeterministic()(F.col(f"`{text}`").cast("string")))
 

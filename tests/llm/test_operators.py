@@ -225,6 +225,9 @@ def test_tokens(spark):
         assert (r.docs, r.docs_below, r.docs_at_least) == (n.count(r.context), sum(x < r.context for x in n), sum(x >= r.context for x in n))
         assert (r.tokens_kept, r.total_tokens, r.tokens_lost) == (sum(min(x, r.context) for x in n), sum(n), sum(max(0, x - r.context) for x in n))
     assert tokens.length_table(df.limit(0)).count() == 0
+    for text in ("a  b \n\n c" + " " * 3000 + "d\t\t" + "\n" * 1500, " " * 2000):
+        assert tokens.length(codec, text, public_tokenizers.PATTERN) == len(codec.encode_ordinary(text))
+    assert tokens.length(codec, " " * 300_000 + "x", public_tokenizers.PATTERN) > 0
 
 
 def test_warc(spark, tmp_path):
