@@ -31,6 +31,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+RUN = re.compile(rb"[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 CARD = re.compile(rb"\d(?:[ -]?\d){12,18}(?!\d)")
 CARD_NAMES = (b"card", b"visa", b"mastercard", b"amex")
@@ -131,6 +132,8 @@ def scan(raw: bytes, words) -> list[tuple[int, int, int]]:
         elif kind == "jwt":
             m = JWT.match(raw, at)
             ok = m and _jwt_ok(m[0])
+            if not m:  # nor does any later start in the same run of characters
+                ends[kind] = RUN.match(raw, at).end()
         elif kind == "pem":
             m = PEM.match(raw, at)
             ok = m and _pem_ok(m[2])
