@@ -192,7 +192,8 @@ def verified(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: doc_id, print (of the text), n_shingles,
-    component_id (the least doc_id that links reach) and kept."""
+    component_id (the least doc_id that links reach), kept, and group (a number
+    of the component; null without shingles)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text"))
     each = cut(sets(rows, "text", width).select("doc_id", "print", F.col("set_.n").alias("n_shingles"), F.col("set_.node").alias("node"), F.col("set_.marks").alias("marks")))
@@ -204,20 +205,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = found.dropDuplicates(["id_", "print_"]).select("root", "node", "n", "text", "marks")
     links = verified(found, width, percent)
     out = label(each.drop("marks"), links, "node", "doc_id")
-    return out.select("doc_id", "print", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "print", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.col("group_").alias("group"))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with one row of each component."""
-    found = cut(near_duplicates(docs, doc_id=doc_id, text=text, width=width, percent=percent))
-    key, gone, n = aside(docs, "print", "gone", "n")
-    drops = found.filter(~F.coalesce("kept", F.col("component_id").isNull())).select(F.col("doc_id").alias(gone), F.col("print").alias(key)).distinct()
-    mine = docs.withColumn(key + "_", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    out = mine.join(drops, F.col(f"`{doc_id}`").eqNullSafe(F.col(gone)) & (F.col(key + "_") == F.col(key)), "left_anti")
-    again = found.filter("kept AND n_shingles > 0").groupBy("component_id").count().filter("count > 1")
-    if not again.isEmpty():  # rows that have an id in common: one of them stays
-        sizes = found.filter("kept AND n_shingles > 0").select("doc_id", "print").groupBy("doc_id").agg(F.min("print").alias(n)).withColumnRenamed("doc_id", gone)
-        out = out.join(sizes, F.col(f"`{doc_id}`") == F.col(gone), "left").filter(F.col(n).isNull() | (F.col(n) == F.col(key + "_"))).drop(n, gone)
-        alone = F.col(f"`{doc_id}`").isNull() | (F.size(F.split(F.trim(F.coalesce(F.col(f"`{text}`"), F.lit(""))), r"\s+")) == 0)
-        out = out.withColumn(n, F.when(alone, F.monotonically_increasing_id())).dropDuplicates([doc_id, key + "_", n]).drop(n)
-    return out.drop(key + "_")
+    """docs with one row of each component, that with the least doc_id (nulls
+    last; then by a hash of the text); rows without shingles all stay."""
+    found = cut(near_duplicates(docs, doc_id=doc_id, text=text, width=width, percent=percent).filter("group IS NOT NULL").select("doc_id", "print", "group"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = cut(first.filter("n > 1").select(F.bitwise_not("group").alias("k"), "first"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    drops = found.withColumn("k", F.bitwise_not("group")).join(first, "k").filter(~row.eqNullSafe(F.col("first"))).select("doc_id", "print").distinct()
+    id_, key, own, n = aside(docs, "id", "key", "print", "n")
+    mine = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    drops = drops.select(F.col("doc_id").alias(id_), F.col("print").alias(key))
+    out = mine.join(drops, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left_anti")
+    stay = found.join(first, F.bitwise_not("group") == F.col("k")).filter(row.eqNullSafe(F.col("first")))
+    again = stay.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(F.col("doc_id").alias(id_), F.col("print").alias(key), n)
+    if not again.isEmpty():  # equal rows, id and all: one of them stays
+        out = out.join(again, F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left").drop(id_, key)
+        out = out.withColumn(n, F.when(F.col(n).isNull(), F.monotonically_increasing_id())).dropDuplicates([doc_id, own, n]).drop(n)
+    return out.drop(own)

@@ -68,7 +68,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles are 80 % alike."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("print")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("print", "group")
 
 
 QUERIES = {

@@ -148,12 +148,18 @@ def test_minhash(docs, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
-def test_one_of_each(docs):
+def test_one_of_each(spark, docs):
     got = minhash.one_of_each(docs, width=5)
     assert got.columns == docs.columns
     expected = {i for i, n, c in near(ROWS, 5) if i is not None and i == c}
-    found = [r.doc_id for r in got.collect() if r.doc_id is not None]
-    assert sorted(found) == sorted(expected)
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(expected)
+    assert sum(r.doc_id is None for r in rows) == 2
+    # An id on two texts: unlike ones both stay, of like ones one does.
+    long = " ".join(f"w{i}" for i in range(60))
+    same = [(1, long, "s"), (1, long + " end", "s"), (1, "quite another text it is", "s"), (2, long, "s"), (None, "quite another text it is", "s")]
+    left = minhash.one_of_each(frame(spark, same)).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {1} and len({len(r.text) > 100 for r in left}) == 2
 
 
 @pytest.mark.parametrize("block", [2048, 4])
