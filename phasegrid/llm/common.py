@@ -82,7 +82,7 @@ def strings(column) -> list[bytes]:
 class WordIds(dict):
     """Words to 64-bit fingerprints, kept for the words seen last."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
