@@ -164,7 +164,10 @@ def _windows(batches, hot: bool):
                     f, m = int(first[i]), int(n[i])
                     out.append((int(grams[i]), uid, f, m, int(off[i]), raw[f : f + m + WINDOW - 1]))
             known = good[twice]
-            out += zip(whole[known].view(np.int64).tolist(), [uid] * len(known), first[known].tolist(), n[known].tolist(), [0] * len(known), [None] * len(known)) if not hot else []
+            if len(known) and not hot:  # in one piece where they follow each other, and dealt by place
+                new = np.flatnonzero(np.concatenate([[True], first[known][1:] != first[known][:-1] + n[known][:-1]]))
+                a, m = first[known][new], np.add.reduceat(n[known], new)
+                out += zip((a * 0x9E3779B1 ^ uid).tolist(), [uid] * len(a), a.tolist(), m.tolist(), [0] * len(a), [None] * len(a))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kind)], schema=kind)
                 out = []
