@@ -245,18 +245,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _facts(own: DataFrame) -> DataFrame:
+    """By text (k: the complement of its uid): the spans to remove, or whether
+    it has a copy and goes whole."""
+    long = _text(own)
+    spans = repeats(long).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    copies = long.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("uid").alias("twin"))
+    both = spans.join(copies, F.col("uid") == F.col("twin"), "full")
+    return both.select(F.bitwise_not(F.coalesce("uid", "twin")).alias("k"), F.when(F.col("twin").isNull(), F.col("spans")).alias("spans"), F.col("twin").isNotNull().alias("whole"))
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string"
 
 
 def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, spans (removed runs of bytes),
     kept (the bytes left; null where keep is False) and kept_sha256."""
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    long = _text(own)
-    spans = repeats(long).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    copies = long.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("uid").alias("twin"))
-    facts = spans.join(copies, F.col("uid") == F.col("twin"), "full").select(F.bitwise_not(F.coalesce("uid", "twin")).alias("k"), F.when(F.col("twin").isNull(), F.col("spans")).alias("spans"), F.col("twin").isNotNull().alias("whole"))
-    facts = cut(facts)
+    facts = cut(_facts(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))))
     k, cuts, whole, made = aside(docs, "k", "cuts", "whole", "made")
     facts = facts.select(F.col("k").alias(k), F.col("spans").alias(cuts), F.col("whole").alias(whole))
     body = F.col(f"`{text}`").cast("string")
