@@ -197,8 +197,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text"))
     each = cut(sets(rows, "text", width).select("doc_id", "print", F.col("set_.n").alias("n_shingles"), F.col("set_.node").alias("node"), F.col("set_.marks").alias("marks")))
-    nodes = each.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("row"), F.first("n_shingles").alias("n"), F.first("marks").alias("marks"))
-    nodes = cut(nodes)
+    nodes = cut(each.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("row"), F.first("n_shingles").alias("n"), F.first("marks").alias("marks")))
     clusters = components(candidates(nodes.select("node", "marks")))
     members = cut(clusters.join(nodes, "node").select("root", "node", "n", "marks", F.col("row.doc_id").alias("id_"), F.col("row.print").alias("print_")))
     found = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("print") == F.col("print_")))
