@@ -141,7 +141,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 def _windows(batches, hot: bool):
     """Of texts with their repeated anchors, the runs of windows to compare
     (gram, uid, start, n, offset, bytes), and runs known to be repeated
-    (without bytes); where hot, single windows (gram: the window's hash)."""
+    (without bytes); where hot, single windows (gram: the window's hash; null
+    for runs known to be repeated)."""
     import numpy as np
     import pyarrow as pa
 
@@ -164,10 +165,10 @@ def _windows(batches, hot: bool):
                     f, m = int(first[i]), int(n[i])
                     out.append((int(grams[i]), uid, f, m, int(off[i]), raw[f : f + m + WINDOW - 1]))
             known = good[twice]
-            if len(known) and not hot:  # in one piece where they follow each other, and dealt by place
+            if len(known):  # in one piece where they follow each other, and dealt by place
                 new = np.flatnonzero(np.concatenate([[True], first[known][1:] != first[known][:-1] + n[known][:-1]]))
                 a, m = first[known][new], np.add.reduceat(n[known], new)
-                out += zip((a * 0x9E3779B1 ^ uid).tolist(), [uid] * len(a), a.tolist(), m.tolist(), [0] * len(a), [None] * len(a))
+                out += zip([None] * len(a) if hot else (a * 0x9E3779B1 ^ uid).tolist(), [uid] * len(a), a.tolist(), m.tolist(), [0] * len(a), [None] * len(a))
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kind)], schema=kind)
                 out = []
@@ -238,10 +239,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     out = runs.mapInArrow(compare, "uid long, start long, stop long")
     if not found.filter(F.size("hots") > 0).isEmpty():
-        every = cut(texts("hots").mapInArrow(lambda b: _windows(b, True), "gram long, uid long, start long, n int, off int, raw binary").select("gram", "uid", "start"))
-        twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("gram").alias("k"))
+        every = cut(texts("hots").mapInArrow(lambda b: _windows(b, True), "gram long, uid long, start long, n int, off int, raw binary").select("gram", "uid", "start", "n"))
+        twice = every.filter("gram IS NOT NULL").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("gram").alias("k"))
         hits = every.withColumn("k", F.bitwise_not("gram")).join(twice, "k")
-        out = out.union(hits.select("uid", "start", (F.col("start") + WINDOW).alias("stop")))
+        known = every.filter("gram IS NULL").select("uid", "start", (F.col("start") + F.col("n") + (WINDOW - 1)).alias("stop"))
+        out = out.union(hits.select("uid", "start", (F.col("start") + WINDOW).alias("stop"))).union(known)
     return out
 
 
