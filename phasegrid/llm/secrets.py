@@ -30,8 +30,9 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 RUN = re.compile(rb"[A-Za-z0-9_-]+")
+#: What follows the first segment of a web token.
+REST = re.compile(rb"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 CARD = re.compile(rb"\d(?:[ -]?\d){12,18}(?!\d)")
 CARD_NAMES = (b"card", b"visa", b"mastercard", b"amex")
@@ -56,14 +57,24 @@ def _base62_ok(token: bytes) -> bool:
     return digits == given
 
 
-def _jwt_ok(token: bytes) -> bool:
+def _jwt_ok(raw: bytes, at: int, stop: int, seen: dict) -> bool:
+    """Whether raw[at:stop] is a JSON header in base64url. seen keeps what the
+    run's earlier starts decoded: those four characters apart share it."""
     import base64
     import json
 
+    if (stop - at) % 4 == 1:
+        return False
+    if at % 4 not in seen:
+        seen[at % 4] = at, base64.urlsafe_b64decode(raw[at:stop] + b"=" * (-(stop - at) % 4))
+    first, data = seen[at % 4]
+    if at % 4 + 4 not in seen:
+        seen[at % 4 + 4] = data.decode("latin-1")  # JSON's own characters are ASCII
+    start = (at - first) // 4 * 3
     try:
-        head = token.split(b".")[0]
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except ValueError:
+        _, end = json.JSONDecoder().raw_decode(seen[at % 4 + 4], start)
+        return not data[end:].strip() and "alg" in json.loads(data[start:])
+    except (ValueError, RecursionError):
         return False
 
 
@@ -114,12 +125,33 @@ def hex_runs(raw: bytes) -> list[tuple[int, int]]:
 
 def scan(raw: bytes, words) -> list[tuple[int, int, int]]:
     """(start, kind, end) of every secret in UTF-8 bytes, by start and kind."""
-    out, ends = [(a, 2, b) for a, b in hex_runs(raw)], {}
+    out, ends, run, rest = [(a, 2, b) for a, b in hex_runs(raw)], {}, 0, None
+    seen: dict = {}
     hits = [(e - n + 1, kind) for e, (n, kind) in words.iter(raw.translate(LOWER_TABLE).decode("latin-1"))]
     for at, kind in sorted(hits):
+        k = KINDS.index(kind)
+        if kind == "card":  # the numbers that start within NEAR bytes of the word
+            m = CARD.search(raw, max(at, ends.get(kind, 0)), at + NEAR + 40)
+            while m and m.start() <= at + NEAR:
+                ends[kind] = m.end()
+                if _luhn_ok(m[0]):
+                    out.append((m.start(), k, m.end()))
+                m = CARD.search(raw, m.end(), at + NEAR + 40)
+            continue
         if at < ends.get(kind, 0):
             continue
-        k = KINDS.index(kind)
+        if kind == "jwt":
+            if not raw.startswith(b"eyJ", at):
+                continue
+            if at >= run:  # what follows is the same for every start in the run
+                run = RUN.match(raw, at).end()
+                rest, seen = REST.match(raw, run), {}
+            if not rest:
+                ends[kind] = run
+            elif at + 3 < run and _jwt_ok(raw, at, run, seen):
+                ends[kind] = rest.end()
+                out.append((at, k, rest.end()))
+            continue
         if kind == "assign":
             m = ASSIGN.match(raw, at)
             ok = m and len(m[2]) >= 8
@@ -129,21 +161,13 @@ def scan(raw: bytes, words) -> list[tuple[int, int, int]]:
         elif kind in ("github", "npm"):
             m = (GITHUB if kind == "github" else NPM).match(raw, at)
             ok = m and _base62_ok(m[0])
-        elif kind == "jwt":
-            m = JWT.match(raw, at)
-            ok = m and _jwt_ok(m[0])
-            if not m:  # nor does any later start in the same run of characters
-                ends[kind] = RUN.match(raw, at).end()
-        elif kind == "pem":
+        else:
             m = PEM.match(raw, at)
             ok = m and _pem_ok(m[2])
-        else:  # a number that starts within NEAR bytes of the word
-            m = CARD.search(raw, at, at + NEAR + 40)
-            ok = m and m.start() <= at + NEAR and _luhn_ok(m[0])
-        if m:
+        if ok or m and k < BASE:  # a failed check takes nothing from later starts
             ends[kind] = m.end()
-            if ok:
-                out.append((m.start(), k, m.end()))
+        if ok:
+            out.append((m.start(), k, m.end()))
     return sorted(out)
 
 
