@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.common import aside, cut
 
-RATIO, MIN_PAGES, BROADCAST_ROWS = 0.1, 5, 200_000
+RATIO, MIN_PAGES, BROADCAST_ROWS = 0.1, 2, 200_000
 BLANKS = " \t\r"
 
 

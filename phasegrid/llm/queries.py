@@ -21,7 +21,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from each document, its source as the site."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = lines.drop_lines(docs)
+    out = lines.drop_lines(docs, min_pages=5)  # as its SQL has it
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
