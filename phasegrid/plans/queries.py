@@ -554,7 +554,7 @@ def atmosphere(spark, sf):
     """The atmospheric correction of each interferogram."""
     series, ifgs, net = _series(spark, sf)
     high = aps.temporal_highpass(series.select("row", "col", "epoch_idx", "tsincr"), net, 600)
-    low = aps.spatial_lowpass(high, GRID, 1.0, pad=128)
+    low = aps.spatial_lowpass(high, GRID, 1.0)
     spans = network.members(ifgs, network.epochs(ifgs)).select("ifg_id", (F.col("epoch_idx") + 1).alias("epoch_idx"))
     return aps.correction(low, spans).select("ifg_id", "row", "col", r("aps", 4).alias("aps"))
 
