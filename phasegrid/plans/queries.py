@@ -659,7 +659,7 @@ def event_rates(spark, sf):
 
     day = read(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.sum(F.floor(F.col("value") * 1000 + 0.5).cast("long")) / F.lit(1000.0)).alias("v"))
     total = day.select("user_id", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("epoch_idx"), F.sum("v").over(Window.partitionBy("user_id").orderBy("day")).alias("tscuml"))
-    epoch = spark.range(0, 400).select(F.col("id").cast("int").alias("epoch_idx"), (F.col("id") / F.lit(365.25)).alias("span"))
+    epoch = total.select("epoch_idx").distinct().select("epoch_idx", (F.col("epoch_idx") / F.lit(365.25)).alias("span"))
     out = inversion.linear_rate(total, epoch, by=("user_id",)).filter("samples > 1")
     return out.select("user_id", r("rate", 2).alias("rate"), r("intercept", 3).alias("intercept"), "samples")
 
