@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -19,11 +19,19 @@ ALNUM_TABLE = bytes(
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Paths in the shared folder that this process made and hasn't deleted yet.
+_LEFT: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own where that is unset (a single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one
+    machine, where that is unset, a temporary folder of our own; on a cluster
+    its absence is an error, as executors don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="phasegrid-")
         atexit.register(shutil.rmtree, found[7:], True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -32,38 +40,79 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    _LEFT.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """What results still read when they were returned goes with the process."""
+    for path, spark in list(_LEFT.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone before us
+            _remove(spark, path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when this process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Shuffle files of a query planned and run inside go when it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def _checkpoint_file(df: DataFrame) -> str | None:
+    found = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder: what follows doesn't depend
-    on the executors that made it. Shuffle files it no longer needs may go,
-    if the caller keeps no reference to what it gave."""
+    on the executors that made it, and its shuffle files are gone. See forget."""
     spark = df.sparkSession
     shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_go(spark):
+        kept = df.select("*").checkpoint(eager=True)
+    if path := _checkpoint_file(kept):
+        _LEFT[path] = spark
     return kept
 
 
+def forget(*cuts: DataFrame) -> None:
+    """Delete checkpoints, made by cut, that nothing will read again."""
+    for df in cuts:
+        if path := _checkpoint_file(df):
+            _remove(df.sparkSession, path)
+
+
 class Scratch:
     """df as a Parquet table in the shared folder, for large results that are
-    read more than once; gone after drop()."""
+    read more than once; gone after drop(), or with the process."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, shared_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        with _shuffles_go(self.spark):
+            df.select("*").write.parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.path)
 
 
 def utf8(name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut
+from phasegrid.llm.common import cut, forget
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if state == seen or state[0] == 0:
             break
         seen = state
-        now = cut(_stars(_stars(now, True), False))
+        before, now = now, cut(_stars(_stars(now, True), False))
+        forget(before)
     else:
         raise RuntimeError(f"components still change after {most} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))

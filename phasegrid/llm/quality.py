@@ -1,22 +1,26 @@
 """Quality classifier by importance resampling.
 
-Two hashed n-gram models (words and pairs of words in 2^16 buckets, add-one
-smoothing) are counted: the raw model over all documents, the target model
-over documents labelled good, of which MAX_LABELS at most are read (those whose
-ids hash lowest, a fixed sample). The log importance of a document is the sum
-of log target/raw over its n-grams, taken per n-gram (PRIOR neutral ones are
-added, so short texts lean to neither side) and scaled to a passage of PASSAGE
-n-grams, lest length decide. With Gumbel noise drawn from a hash of the id, the
-top k are a sample without replacement in proportion to the importances; k is
-the share of good labels times the number of documents. Reruns agree.
-
-The k-th key is found by counting keys in ranges that narrow, never by sorting
-or collecting them. Models are of fixed size.
-
-Defined cases: a null or empty text has importance 0; a null id draws its noise
-as an id of its own; rows with the k-th key are all kept; without a label
-nothing is rejected; a document with several labels is good if one says so;
-other columns pass through, and those with an output's name are replaced.
+Two generative models of hashed n-grams (words and pairs of words in 2^16
+buckets) are counted: the raw model over all documents, the target model over
+documents labelled good, of which MAX_LABELS at most are read (those whose ids
+hash lowest, a fixed sample). A sample says little about rare buckets, so the
+target model is the raw one times a ratio for each bucket that is estimated
+under a Gamma prior of mean 1 and weight PRIOR: (n-grams of the target +
+PRIOR) / (those expected of it by the raw model + PRIOR). The log importance
+of a document is the sum of log(target / raw) over its n-grams. With Gumbel noise drawn from a hash of the id, the top k are a sample without
+replacement in proportion to the importances; k is the share of good labels
+times the number of documents. Reruns agree.
+
+Texts are read twice, once to count and once to score; the scores are kept in
+a table in the shared folder. The k-th key is found by counting keys in ranges
+that narrow, never by sorting or collecting them. Models are of fixed size.
+
+Defined cases: a null or empty text has importance 0; very long texts count
+whole; a null id draws its noise as an id of its own, and rows of one id share
+theirs; rows with the k-th key are all kept; without a label nothing is
+rejected; a document with several labels is good if one says so; an empty
+table gives no rows; other columns pass through, and those with an output's
+name are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import WordIds, aside, cut, strings
+from phasegrid.llm.common import Scratch, WordIds, strings
 
-BITS, PRIOR, PASSAGE, MAX_LABELS, SEED = 16, 32, 256, 20_000, 6
+BITS, PRIOR, MAX_LABELS, SEED = 16, 64.0, 20_000, 6
 RANGES = 4096
 
 
@@ -67,11 +71,16 @@ def models(docs: DataFrame, good: DataFrame, text: str, doc_id: str):
     return raw, target
 
 
-def log_ratios(raw, target):
+def log_ratios(raw, target, prior: float = PRIOR):
+    """Log of target over raw for each bucket; 0 where raw has none (no
+    document has it), and everywhere without a target."""
     import numpy as np
 
-    model = lambda c: np.log((c + 1) / (c.sum() + len(c)))
-    return model(target) - model(raw)
+    if not target.sum():
+        return np.zeros(len(raw))
+    share = raw / raw.sum()
+    ratio = (target + prior) / (target.sum() * share + prior)
+    return np.where(raw > 0, np.log(ratio / (share * ratio).sum()), 0.0)
 
 
 def gumbel(doc_id: str) -> Column:
@@ -107,9 +116,10 @@ def kth_largest(keys: DataFrame, name: str, k: int) -> float | None:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: Column | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: Column | None = None, max_labels: int = MAX_LABELS, keep: list[str] | None = None) -> DataFrame:
     """docs with importance (a log), sample_key (with its noise) and kept.
-    good: of labels; by default that quality is 1."""
+    good: of labels; by default that quality is 1. keep: the columns of docs
+    in the result, all by default."""
     good = F.coalesce(good if good is not None else F.col("quality") == 1, F.lit(False))
     marks = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("good_id")).agg(F.max(good).alias("good"))
     n, n_good = marks.agg(F.count(F.lit(1)), F.count(F.when(F.col("good"), 1))).first()
@@ -123,18 +133,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
         if not made:
             made.append(WordIds())
-        out = []
-        for x in strings(column):
-            found = buckets(x.split(), made[0])
-            out.append(float(ratios.value[found].sum()) / (len(found) + PRIOR) * PASSAGE)
-        return pa.array(out, pa.float64())
+        return pa.array([float(ratios.value[buckets(x.split(), made[0])].sum()) for x in strings(column)], pa.float64())
 
     udf = F.arrow_udf(score, "double").asNondeterministic()
-    rest = docs.drop("importance", "sample_key", "kept")
-    scored = docs.withColumn("importance", udf(F.col(f"`{text}`").cast("string"))).withColumn("sample_key", F.col("importance") + gumbel(doc_id))
-    least = None
-    if n:
-        keys = cut(scored.select("sample_key"))
-        least = kth_largest(keys, "sample_key", round(keys.count() * n_good / n))
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("importance", "sample_key", "kept")]
+    noise = gumbel(doc_id).alias("sample_key")
+    scored = docs.select(*[f"`{c}`" for c in names], udf(F.col(f"`{text}`").cast("string")).alias("importance"), noise)
+    scored = Scratch(scored.withColumn("sample_key", F.col("importance") + F.col("sample_key")), "scores").read()
+    least = kth_largest(scored.select("sample_key"), "sample_key", round(scored.count() * n_good / n)) if n else None
     kept = F.lit(True) if least is None else F.col("sample_key") >= F.lit(least)
-    return scored.select(*[f"`{c}`" for c in rest.columns], "importance", "sample_key", kept.alias("kept"))
+    return scored.withColumn("kept", kept)

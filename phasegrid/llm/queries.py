@@ -47,7 +47,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance, key and decision for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import bag, corpus, frame, roots, sha
+import xxhash
+from llm_helpers import bag, corpus, frame, roots, sha
 from pyspark.sql import functions as F
 
 from phasegrid.llm import embeddings, lines, minhash, mixing, quality, secrets, substrings, tokens, warc
@@ -210,6 +212,31 @@ def test_quality_on_held_out_labels(spark):
     assert quality.classify(df, labels.limit(0)).filter("NOT kept").count() == 0
 
 
+def test_quality_against_brute_force(spark, docs):
+    """Every importance and key from models counted in plain Python."""
+    labels = [(i, int(i % 6 != 0)) for i in range(0, 100, 2)]
+    good = {i for i, q in labels if q}
+    grams = []
+    for _, text, _ in ROWS:
+        words = [xxhash.xxh3_64_intdigest(x.encode()) for x in re.findall("[^\x20\x09-\x0d]+", text or "")]
+        found = words + [(3 * a + b) % 2**64 for a, b in zip(words, words[1:])]
+        grams.append([(x * 0x9E3779B97F4A7C15) % 2**64 >> 48 for x in found])
+    raw = Counter(g for own in grams for g in own)
+    target = Counter(g for own, (i, _, _) in zip(grams, ROWS) if i in good for g in own)
+    ratio = {g: (target[g] + 64) / (target.total() * n / raw.total() + 64) for g, n in raw.items()}
+    whole = sum(n / raw.total() * ratio[g] for g, n in raw.items())
+    weight = lambda g: math.log(ratio[g] / whole)
+    got = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = got.withColumn("noise", quality.gumbel("doc_id")).collect()
+    expected = {repr((i, t)): sum(map(weight, own)) for (i, t, _), own in zip(ROWS, grams)}
+    for r in rows:
+        assert math.isclose(r.importance, expected[repr((r.doc_id, r.text))], abs_tol=1e-6)
+        assert math.isclose(r.sample_key, r.importance + r.noise, abs_tol=1e-9)
+    least = sorted((r.sample_key for r in rows), reverse=True)[round(len(rows) * len(good) / len(labels)) - 1]
+    assert all(r.kept == (r.sample_key >= least) for r in rows) and not all(r.kept for r in rows)
+    assert [c for c in got.columns if c not in docs.columns] == ["importance", "sample_key", "kept"]
+
+
 def test_kth_largest(spark):
     rnd = random.Random(4)
     values = [rnd.gauss(0, 1) for _ in range(300)] + [0.5] * 40 + [1e9, -1e9]

@@ -1,7 +1,7 @@
 """Three stages of the pipeline against brute force."""
 
 import pytest
-from helpers import bag
+from llm_helpers import bag
 
 import corpus_pipeline as cp
 

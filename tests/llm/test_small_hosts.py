@@ -1,6 +1,6 @@
 """Boilerplate of hosts with few pages."""
 
-from helpers import bag
+from llm_helpers import bag
 
 from phasegrid.llm import lines
 

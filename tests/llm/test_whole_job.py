@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from helpers import bag, sha
+from llm_helpers import bag, sha
 
 from phasegrid.llm import substrings
 
