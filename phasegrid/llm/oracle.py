@@ -63,15 +63,19 @@ l AS (
   SELECT full_at, (sum(words) OVER () - coalesce(sum(most) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o
 ),
-t AS (SELECT source, words::BIGINT AS words, least(most, (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM o),
+t AS (SELECT source, rank, words::BIGINT AS words, least(most, (SELECT arg_min(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM o),
 a AS (
-  SELECT doc_id, size, words, target, floor(target + 0.5)::BIGINT AS due,
+  SELECT doc_id, size, words, target, floor(target + 0.5)::BIGINT AS due, [-0.5, 0.0, 0.5][(rank % 3 + 1)::INT]::DOUBLE AS ramp,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
+),
+k AS (SELECT *, (CASE WHEN size > 0 THEN (due > begun)::INT + (due - words > begun)::INT + (due - 2 * words > begun)::INT ELSE 0 END)::BIGINT AS copies FROM a),
+y AS (SELECT *, begun / due::DOUBLE AS y1, ((copies - 1) * words + begun) / due::DOUBLE AS y2 FROM k)
 SELECT doc_id, size, words AS source_size, target,
-  (greatest(0, least(size, due - begun)) + greatest(0, least(size, due - words - begun)) + greatest(0, least(size, due - 2 * words - begun)))::BIGINT AS taken
-FROM a
+  (greatest(0, least(size, due - begun)) + greatest(0, least(size, due - words - begun)) + greatest(0, least(size, due - 2 * words - begun)))::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN round(CASE WHEN ramp = 0 THEN y1 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * y1) - (1 - ramp)) / (2 * ramp) END, 9) + 0 END AS first_position,
+  CASE WHEN copies > 0 THEN round(CASE WHEN ramp = 0 THEN y2 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * y2) - (1 - ramp)) / (2 * ramp) END, 9) + 0 END AS last_position
+FROM y
 """
 
 OP10 = f"""

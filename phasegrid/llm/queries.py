@@ -61,9 +61,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of each document, and the positions of its copies."""
-    out = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    """Words taken of each document, how often, and where along the curriculum
+    its first and last copies stand; in the order of the run."""
+    out = mixing.schedule(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    places = [F.round(c, 9).alias(c) for c in ("first_position", "last_position")]
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", *places)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,39 @@ def test_mixing(docs):
     assert bag((r.doc_id, r.taken) for r in again) == bag((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_reruns_agree(spark):
+    """Rows of one id and size, in any order of arrival."""
+    rnd = random.Random(9)
+    rows = [(i // 5, " ".join(rnd.choice("abcdefgh") for _ in range(7)), f"s{i % 2}" if i < 90 else "s1") for i in range(120)]
+    seen = set()
+    for _ in range(4):
+        rnd.shuffle(rows)
+        run = mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+        seen.add(repr(sorted((r.position, r.copy, r.doc_id, r.text, r["take"]) for r in run)))
+    assert len(seen) == 1
+
+
+def test_schedule(spark, docs):
+    """Positions against the integral of each source's share, and the order."""
+    got = mixing.schedule(docs).collect()
+    assert len(got) == len(ROWS)
+    first = [r.first_position for r in got]
+    n = sum(p is not None for p in first)
+    assert 0 < n < len(got) and None not in first[:n] and first[:n] == sorted(first[:n])
+    names = sorted({s for _, _, s in ROWS}, key=lambda s: (s is None, s or ""))
+    begun: dict = {}
+    for r in sorted(got, key=lambda r: (sha(str(r.doc_id)),)):
+        a, due = (-0.5, 0.0, 0.5)[names.index(r.source) % 3], math.floor(r.target + 0.5)
+        assert r.copies == len(r.positions) == len(r.takes) and (r.copies > 0) == (r.taken > 0)
+        for t, p in zip(r.positions, range(3)):
+            begun.setdefault(r.source, []).append((round((t + a * (t * t - t)) * due), r.takes[p]))
+    for s, own in begun.items():  # copies fill the source's demand without a gap
+        at = 0
+        for start, words in sorted(own):
+            assert start == at
+            at += words
+
+
 def test_curriculum(docs):
     run = mixing.curriculum(docs).collect()
     assert [r.position for r in run] == sorted(r.position for r in run)
