@@ -289,6 +289,25 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_headers(spark, tmp_path):
+    import gzip
+    from datetime import datetime, timezone
+
+    rows = [(i, f"http://a/{i}", "z" * 150 if i % 2 else f"page {i}") for i in range(20)] + [(None, None, "q" * 300), (None, None, "r" * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, f"file://{tmp_path}/w", date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
+    found = [r for f in tmp_path.glob("w/*.gz") for r in warc.parse(gzip.open(f))]
+    assert len(found) == len(rows) == len({h[b"WARC-Record-ID"] for h, _ in found})
+    ids = {h[b"WARC-Record-ID"]: h for h, _ in found}
+    for head, block in found:
+        assert head[b"WARC-Date"] == b"2024-05-06T07:08:09Z" and len(block) == int(head[b"Content-Length"])
+        if head[b"WARC-Type"] == b"revisit":
+            first = ids[head[b"WARC-Refers-To"]]
+            assert first[b"WARC-Type"] == b"response" and head[b"WARC-Refers-To-Target-URI"] == first[b"WARC-Target-URI"] == b"http://a/1"
+            assert head[b"WARC-Refers-To-Date"] == first[b"WARC-Date"] and head[b"WARC-Payload-Digest"] == first[b"WARC-Payload-Digest"]
+    assert sum(h[b"WARC-Type"] == b"revisit" for h in ids.values()) == 9
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
