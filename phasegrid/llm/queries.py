@@ -51,8 +51,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and tokens by encoded length, with their suffix sums."""
-    return tokens.length_table(table(spark, sf_dir, "documents").select("text"))
+    """Documents and tokens by encoded length and at the usual context limits,
+    with their suffix sums."""
+    return tokens.length_table(table(spark, sf_dir, "documents").select("text"), limits=tokens.LIMITS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,7 +262,20 @@ def test_tokens(spark):
     for r in got:
         assert (r.docs, r.docs_below, r.docs_at_least) == (n.count(r.context), sum(x < r.context for x in n), sum(x >= r.context for x in n))
         assert (r.tokens_kept, r.total_tokens, r.tokens_lost) == (sum(min(x, r.context) for x in n), sum(n), sum(max(0, x - r.context) for x in n))
-    assert tokens.length_table(df.limit(0)).count() == 0
+    assert tokens.length_table(df.limit(0)).count() == 0 == tokens.length_table(df.limit(0), limits=(7,)).count()
+    asked = {r.context: r for r in tokens.length_table(df, limits=(0, 3, 64, 10**6)).collect()}
+    assert set(asked) == set(n) | {0, 3, 64, 10**6}
+    for limit, r in asked.items():
+        assert (r.docs, r.docs_at_least, r.tokens_kept, r.total_docs) == (n.count(limit), sum(x >= limit for x in n), sum(min(x, limit) for x in n), len(n))
+    shares = {r.share: r.context for r in tokens.quantiles(tokens.length_table(df, limits=(3,)), [0.0, 0.3, 0.5, 0.9, 1.0]).collect()}
+    assert shares == {q: min(x for x in n if sum(y <= x for y in n) >= q * len(n)) for q in (0.0, 0.3, 0.5, 0.9, 1.0)}
+    clash = df.selectExpr("text", "context AS docs", "context AS at", "CAST(NULL AS string) AS block", "length(text) % 2 AS `total_docs`", "1 AS `a b`")
+    got = tokens.length_table(clash, by=["docs", "at", "block", "total_docs", "a b"], limits=(5,))
+    assert got.columns == ["docs", "at", "block", "total_docs", "a b", "context", "docs_", *tokens.OUT[2:-2], "total_docs_", "total_tokens"]
+    odd: dict = {None: [], 0: [], 1: []}
+    for t, x in zip(texts, n):
+        odd[None if t is None else len(t) % 2].append(x)
+    assert {(r.total_docs, r.context): (r.docs_, r.total_docs_) for r in got.collect()} == {(k, c): (v.count(c), len(v)) for k, v in odd.items() for c in {*v, 5}}
     for text in ("a  b \n\n c" + " " * 3000 + "d\t\t" + "\n" * 1500, " " * 2000):
         assert tokens.length(codec, text, public_tokenizers.PATTERN) == len(codec.encode_ordinary(text))
     assert tokens.length(codec, " " * 300_000 + "x", public_tokenizers.PATTERN) > 0
