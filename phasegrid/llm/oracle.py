@@ -46,6 +46,19 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, ve
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5_number(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS s FROM d)),
+t AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+b AS (SELECT r, s, coalesce(s - lag(s) OVER (PARTITION BY r ORDER BY s) > 200, true) AS opens FROM w JOIN t USING (k)),
+n AS (SELECT r, s, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS span FROM b),
+p AS (SELECT r, min(s) AS x, max(s) + 200 AS y FROM n GROUP BY r, span),
+q AS (SELECT r, x, y, lag(y, 1, 0) OVER (PARTITION BY r ORDER BY x) AS z FROM p),
+c AS (SELECT r, sum(y - x) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (x - z)), '' ORDER BY x) || substr(any_value(h), 2 * max(y) + 1) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
+
 OP8 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -95,6 +108,7 @@ ORACLES = {
     "op1_decontaminate": OP1,
     "op2_line_dedup": OP2,
     "op4_embedding_dedup": OP4,
+    "op5_substring_dedup": OP5,
     "op8_warc": OP8,
     "op9_mixing": OP9,
     "op10_minhash": OP10,
