@@ -1,18 +1,30 @@
 """Groups of rows of any size, compared in blocks of bounded size.
 
 A group (all rows of a key) of up to `block` rows is one task unit. A larger
-one is dealt by the hash of its members into blocks, and each pair of blocks
-is a unit of its own: no task holds more than two blocks, every two members
-meet exactly once, and no pair is written out unless the comparison says so.
+one is dealt by the hash of its members into blocks.
+
+dealt makes each pair of blocks a unit: no task holds more than two blocks and
+every two members meet exactly once, but a group of m rows moves m * m / block
+of them. That is for comparisons that must see every pair.
+
+connecting is for those that only ask what is connected. Blocks are compared
+within themselves first. Then one member of each component that a group has
+found goes on, and they are compared among themselves. What is still apart is
+compared in full, and exactly: the members outside a group's largest component
+visit all of its blocks. A group of m rows whose members mostly hang together
+moves about 2 m rows and those outside, once for each block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from phasegrid.llm.common import Scratch, cut
+from phasegrid.llm.components import components
+
 
 def dealt(rows: DataFrame, key: str, parts: str, member: str) -> DataFrame:
     """rows by (key, bi, bj), with `first`: whether the row belongs to block
@@ -21,8 +33,13 @@ def dealt(rows: DataFrame, key: str, parts: str, member: str) -> DataFrame:
     out = rows.withColumn("own_", own).withColumn("other_", F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts).cast("long") - 1)))
     out = out.withColumn("bi", F.least("own_", "other_").cast("int")).withColumn("bj", F.greatest("own_", "other_").cast("int"))
     out = out.withColumn("first", F.col("own_") == F.col("bi")).drop("own_", "other_", parts)
+    return together(out, key)
+
+
+def together(rows: DataFrame, key: str) -> DataFrame:
+    """rows, each unit (key, bi, bj) in one piece."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+    return rows.repartition(n, key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
 
 
 def units(batches: Iterator, key: str) -> Iterator:
@@ -92,3 +109,51 @@ def spread(work: Callable, rows: DataFrame, key: str, schema: str) -> DataFrame:
             yield from work(table, starts)
 
     return rows.mapInArrow(run, schema)
+
+
+LINKS = "a long, b long"
+
+
+def connecting(rows: DataFrame, key: str, work: Callable, *, block: int, wide: int) -> DataFrame:
+    """Links (a, b) between members of groups that connect all that are
+    connected by links within a group. rows: key, node (once in a group),
+    parts and wide_parts (into how many blocks the group is dealt for the
+    first and for the last step, of `block` and `wide` rows or less) and what
+    work needs. work(table, starts) gets units with bi, bj, first and label;
+    members that have the same label are known to be connected."""
+    columns = [c for c in rows.columns if c not in ("parts", "wide_parts")] + ["bi", "bj", "first", "label"]
+    own = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.col(parts)).cast("int")
+    compare = lambda units_: spread(work, units_.select(columns), key, LINKS)
+
+    seen = Observation()
+    blocks = rows.observe(seen, F.max("parts").alias("most")).withColumn("bi", own(11, "parts"))
+    found = cut(compare(together(blocks.withColumn("bj", F.col("bi")).withColumn("first", F.lit(True)).withColumn("label", F.col("node")), key)))
+    if (seen.get["most"] or 0) <= 1:
+        return found
+    scratch = Scratch(rows.filter("parts > 1"), "groups")
+
+    def labelled() -> DataFrame:
+        roots = components(found).select(F.col("node").alias("member"), F.col("root").alias("found_"))
+        big = scratch.read()
+        return big.join(roots, F.col("node") == F.col("member"), "left").withColumn("label", F.coalesce("found_", "node")).drop("member", "found_")
+
+    # One member for each component of a group.
+    now = cut(labelled().select(key, "node", "label"))
+    least = now.groupBy(key, "label").agg(F.min("node").alias("node"))
+    counts = least.groupBy(F.bitwise_not(key).alias("k")).agg(F.ceil(F.count(F.lit(1)) / block).alias("n_parts"))
+    least = least.withColumn("k", F.bitwise_not(key)).join(counts, "k").select(F.col(key).alias("g"), F.col("node").alias("member"), "label", "n_parts")
+    chosen = scratch.read().drop("parts", "wide_parts").join(least, (F.col(key) == F.col("g")) & (F.col("node") == F.col("member"))).drop("g", "member")
+    found = cut(found.union(compare(dealt(chosen, key, "n_parts", "node"))))
+
+    # Those outside the largest component meet the whole group.
+    now = labelled()
+    sizes = cut(now.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n")))
+    outside = F.sum("n") - F.max("n")
+    groups = sizes.groupBy(F.bitwise_not(key).alias("k")).agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.ceil(outside / wide).alias("visits")).filter("visits > 0")
+    now = now.withColumn("k", F.bitwise_not(key)).join(groups, "k")
+    some = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    hosts = now.withColumn("bi", own(12, "wide_parts")).withColumn("visit", F.explode(some("visits"))).withColumn("bj", (-1 - F.col("visit")).cast("int")).withColumn("first", F.lit(False))
+    guests = now.filter("label <> main").withColumn("bj", (-1 - own(13, "visits")).cast("int")).withColumn("visit", F.explode(some("wide_parts"))).withColumn("bi", F.col("visit").cast("int")).withColumn("first", F.lit(True))
+    last = cut(compare(together(hosts.select(columns).union(guests.select(columns)), key)))
+    scratch.drop()
+    return found.union(last).filter("a <> b")

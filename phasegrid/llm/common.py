@@ -61,6 +61,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def tidy():
+    """What is made in the shared folder inside, and isn't gone by the end of
+    it, goes then: for a result that is written before the end."""
+    before = set(_LEFT)
+    yield
+    for path in set(_LEFT) - before:
+        _remove(_LEFT[path], path)
+
+
 @contextlib.contextmanager
 def _shuffles_go(spark: SparkSession):
     """Shuffle files of a query planned and run inside go when it ends."""
@@ -82,11 +92,14 @@ def _checkpoint_file(df: DataFrame) -> str | None:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder: what follows doesn't depend
-    on the executors that made it, and its shuffle files are gone. See forget."""
+    on the executors that made it, and its shuffle files are gone. See forget.
+    A checkpoint keeps the estimated size of its plan; over many rounds of
+    joins that number would grow without bound, so it is left behind."""
     spark = df.sparkSession
     shared_dir(spark)
     with _shuffles_go(spark):
-        kept = df.select("*").checkpoint(eager=True)
+        made = df.select("*").checkpoint(eager=True)._jdf
+    kept = DataFrame(spark._jsparkSession.internalCreateDataFrame(made.logicalPlan().rdd(), made.schema(), False), spark)
     if path := _checkpoint_file(kept):
         _LEFT[path] = spark
     return kept

@@ -47,17 +47,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def label(rows: DataFrame, edges: DataFrame, node: str, row_id: str) -> DataFrame:
-    """rows with component_id, the least row_id of the rows whose nodes are
-    connected to the row's, and group_, a number of that component. A row whose
-    node is null is alone and has no group. rows are read more than once. A
-    node with very many rows is split between tasks."""
-    nodes = rows.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("n_")).agg(F.min(row_id).alias("least_"), F.count(F.lit(1)).alias("copies_"))
-    found = components(edges)
-    rooted = nodes.join(found, F.col("n_") == F.col("node"), "left").select("n_", "least_", "copies_", F.coalesce("root", "n_").alias("root_"), F.col("root").isNotNull().alias("linked_"))
-    # Of nodes with no copies and no links the row's own id is the answer.
-    rooted = rooted.filter("linked_ OR copies_ > 1")
-    least = rooted.groupBy("root_").agg(F.min("least_").alias("component_id")).withColumnRenamed("root_", "r_")
-    ids = rooted.join(least, F.col("root_") == F.col("r_")).select(F.bitwise_not("n_").alias("k_"), "component_id", F.col("root_").alias("group_"))
-    out = rows.withColumn("k_", F.bitwise_not(node)).join(ids, "k_", "left").drop("k_")
-    return out.withColumn("component_id", F.coalesce("component_id", row_id)).withColumn("group_", F.coalesce("group_", node))
+def label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component_id (the least id of the nodes that edges connect with
+    it) and group_ (a number of that component) of the nodes that have an edge
+    or copies. nodes: node (once), least (id of its rows) and copies."""
+    found = components(edges).select(F.col("node").alias("n_"), "root")
+    rooted = nodes.join(found, F.col("node") == F.col("n_"), "left").filter("root IS NOT NULL OR copies > 1")
+    rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root_"))
+    ids = rooted.groupBy(F.bitwise_not("root_").alias("k_")).agg(F.min("least").alias("component_id"))
+    # Joined on the complement, so that both sides are dealt out for the join.
+    return rooted.withColumn("k_", F.bitwise_not("root_")).join(ids, "k_").select("node", "component_id", F.col("root_").alias("group_"))

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosines.
 
-Vectors are normalised; equal vectors of a label are one node. A table hashes
+Vectors are normalised; equal vectors of a label are one node, by 128-bit
+prints of their bytes. A table hashes
 a node to the floors of (a.x + b) / WIDTH for k random Gaussian a: two vectors
 at distance d agree on one floor with probability p(d), on all with p(d)^k. k
 is chosen from the size of the largest label so that unrelated vectors rarely
@@ -8,15 +9,18 @@ meet, and the number of tables so that two vectors at the cosine threshold
 miss each other in all of them with probability MISS at most (closer ones far
 less). Both follow from the input's size at every size.
 
-Buckets hold nodes of one label; those of any size are dealt into blocks. In a
-unit the cosines are one matrix product in double precision. A link is counted
+Buckets hold nodes of one label; those of any size are dealt into blocks, and
+as n_links counts every link, every two blocks of a bucket meet: the rows of a
+bucket of m nodes that move are m * m / BLOCK. In a unit the cosines are one matrix product in double precision. A link is counted
 in the first table that both vectors share, so each counts once and no pair is
 written: a unit returns, for each node, its links there and one node that it
 is connected to.
 
 Defined cases: a vector that is null, zero, empty or holds a null or
 non-finite component, and one whose label is null, links with nothing; vectors
-of different length don't compare; equal rows are vectors of their own.
+of different length don't compare; equal rows are vectors of their own; a null
+id is never the least one; an empty table gives no rows; a vector of any length
+is compared whole; columns beside the three named are not read.
 """
 
 from __future__ import annotations
@@ -48,8 +52,8 @@ def shape(n: int, cosine: float = COSINE) -> tuple[int, int]:
 
 
 def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
-    """vectors (row_id, kind, vector) with node, unit and keys; the last three
-    null for a vector that can't compare."""
+    """vectors (row_id, kind, vector) with a 128-bit print of kind and vector
+    in two halves, unit and keys; all null for a vector that can't compare."""
     made: dict = {}
 
     def project(kinds, column):
@@ -76,13 +80,12 @@ def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
             floors = np.floor((units @ a + b) / WIDTH).astype(np.int32).reshape(len(found), tables, k)
             for (i, kind, unit, raw), own in zip(found, floors):
                 seed = xxhash.xxh3_64_intdigest(f"{dim}:{kind}".encode())
-                node = xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
+                high, low = divmod(xxhash.xxh3_128_intdigest(raw, seed), 1 << 64)
                 keys = [xxhash.xxh3_64_intdigest(t.tobytes(), (seed + j) & (1 << 64) - 1) - (1 << 63) for j, t in enumerate(own)]
-                rows[i] = {"node": node, "unit": unit.tobytes(), "keys": keys}
-        rows = [x or {"node": None, "unit": None, "keys": None} for x in rows]
-        return pa.array(rows, pa.struct([("node", pa.int64()), ("unit", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+                rows[i] = {"high": high - (1 << 63), "low": low - (1 << 63), "unit": unit.tobytes(), "keys": keys}
+        return pa.array(rows, pa.struct([("high", pa.int64()), ("low", pa.int64()), ("unit", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
-    udf = F.arrow_udf(project, "node long, unit binary, keys array<long>").asNondeterministic()
+    udf = F.arrow_udf(project, "high long, low long, unit binary, keys array<long>").asNondeterministic()
     return vectors.withColumn("hash", udf("kind", "vector")).select("row_id", "hash.*")
 
 
@@ -139,11 +142,16 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     rows = vectors.select(F.col(f"`{vec_id}`").alias("row_id"), F.col(f"`{within}`").cast("string").alias("kind"), F.col(f"`{vector}`").alias("vector"))
     largest = rows.filter("kind IS NOT NULL").groupBy("kind").count().agg(F.max("count")).first()[0] or 0
     k, tables = shape(largest, cosine)
-    each = cut(hashed(rows, k, tables))
-    nodes = cut(each.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("keys").alias("keys")))
-    found = cut(links(nodes, tables, cosine))
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    counts = nodes.join(counts, "node", "left").select(F.bitwise_not("node").alias("c_"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
-    out = label(each.select("row_id", "node"), found.select(F.col("node").alias("a"), F.col("other").alias("b")), "node", "row_id")
-    out = out.withColumn("c_", F.bitwise_not("node")).join(counts, "c_", "left")
-    return out.select(F.col("row_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("row_id") == F.col("component_id")).alias("kept"))
+    marked = hashed(rows, k, tables).select("row_id", F.bitwise_not("high").alias("k"), "low", "unit", "keys")
+    # Vectors with the same bytes and label are one node; their seeds part the labels.
+    each = cut(marked)
+    nodes = each.filter("k IS NOT NULL").groupBy("k", "low").agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = cut(links(nodes.select("node", "copies", "unit", "keys"), tables, cosine))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n")).withColumnRenamed("node", "m")
+    ids = label(nodes.select("node", "least", "copies"), found.select(F.col("node").alias("a"), F.col("other").alias("b"))).drop("group_")
+    facts = nodes.select("k", "low", "node", "copies").join(ids, "node").join(counts, F.col("node") == F.col("m"), "left")
+    facts = facts.select("k", "low", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = each.select("row_id", "k", "low").join(facts, ["k", "low"], "left")
+    component = F.coalesce("component_id", "row_id")
+    return out.select(F.col("row_id").alias(vec_id), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("row_id") == component).alias("kept"))

@@ -144,6 +144,7 @@ def near(rows, width):
 def test_minhash(docs, monkeypatch, block):
     monkeypatch.setattr(minhash, "LIST_BLOCK", block)
     monkeypatch.setattr(minhash, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(minhash, "WIDE_BLOCK", block)
     got = minhash.near_duplicates(docs, width=4).collect()
     expected = near(ROWS, 4)
     assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == bag(expected)
