@@ -40,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what shared_path gave."""
     _LEFT.pop(path, None)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -51,7 +52,7 @@ def _sweep() -> None:
     """What results still read when they were returned goes with the process."""
     for path, spark in list(_LEFT.items()):
         with contextlib.suppress(Exception):  # the JVM may be gone before us
-            _remove(spark, path)
+            delete(spark, path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -68,7 +69,7 @@ def tidy():
     before = set(_LEFT)
     yield
     for path in set(_LEFT) - before:
-        _remove(_LEFT[path], path)
+        delete(_LEFT[path], path)
 
 
 @contextlib.contextmanager
@@ -109,7 +110,7 @@ def forget(*cuts: DataFrame) -> None:
     """Delete checkpoints, made by cut, that nothing will read again."""
     for df in cuts:
         if path := _checkpoint_file(df):
-            _remove(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 class Scratch:
@@ -125,7 +126,7 @@ class Scratch:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        _remove(self.spark, self.path)
+        delete(self.spark, self.path)
 
 
 class Bucketed(Scratch):
