@@ -12,6 +12,18 @@ on whatever table of documents it is given.
   documents with two or more benchmark items go whole.
 - mixing: documents are repeated to their source's target and ordered along
   the curriculum; copy, position and take (words) come with each.
+
+Defined cases: a null text has importance 0, no lines, no near copies and no
+windows, and stays until mixing, which takes no document without words; the
+same holds for an empty text. Very long texts are worked on whole. Repeated
+rows are pages of their own for line_dedup, and one of them is left by
+near_dedup. Of documents with the same id each is judged by its own text. A
+null id is labelled by nothing; a null source is a source. Ties are broken by
+hashes of the rows, so reruns agree. An empty table gives no rows, a table of
+labels or benchmark items that is empty rejects nothing. Columns beside those
+of documents pass through; one with the name of a stage's own column (n_words,
+kept, copy, ...) keeps its values in all stages but mixing, which sets copy,
+position and take.
 """
 
 from __future__ import annotations
@@ -22,13 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm import lines, minhash, mixing, quality
-from phasegrid.llm.common import shared_path, table
+from phasegrid.llm.common import aside, delete, shared_path, table, tidy
 from phasegrid.llm.decontaminate import decontaminate
 
 
+def _apart(docs: DataFrame, *made: str) -> DataFrame:
+    """docs, with columns that have the name of one that a stage makes renamed."""
+    return docs.toDF(*[aside(docs, f"{c}_")[0] if c.lower() in made else c for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return found.filter("kept").select(*docs.columns)
+    own = _apart(docs, "importance", "sample_key", "kept")
+    found = quality.classify(own, table(spark, sf_dir, "labels"))
+    return found.filter("kept").select(*[f"`{c}`" for c in own.columns]).toDF(*docs.columns)
 
 
 def _new_text(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -40,7 +58,8 @@ def _new_text(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _new_text(lines.drop_lines(docs), docs)
+    own = _apart(docs, "n_lines", "n_dropped", "clean_text")
+    return _new_text(lines.drop_lines(own), own).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +67,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _new_text(found.filter("NOT contaminated"), docs)
+    own = _apart(docs, "n_words", "n_hit", "items", "spans", "clean_text", "n_items", "contaminated")
+    found = decontaminate(own, table(spark, sf_dir, "benchmark"))
+    return _new_text(found.filter("NOT contaminated"), own).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +90,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; every stage but it is written as Parquet in
     the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    path = shared_path(spark, "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
-        docs = spark.read.parquet(f"{path}/{name}")
+        path = shared_path(spark, name)
+        with tidy():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
