@@ -23,6 +23,8 @@ and one that has an output's name is replaced.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +81,19 @@ class Windows:
     def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         import numpy as np
 
-        ids, texts, sizes = WordIds(), [], []
+        texts, sizes = [], []
         self.names = [name for name, _ in items]
         for _, text in items:
             words = text.translate(ALNUM_TABLE).split()
             texts.append(b"".join(w + b" " for w in words))
             sizes.append(len(words))
         self.text = b"".join(texts)
-        x = word_prints(self.text.split(), ids)
+        # Words by number; 0 stands for all that the benchmark hasn't.
+        self.vocabulary: dict[bytes, int] = {}
+        for w in self.text.split():
+            self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.codes = np.random.default_rng(20).integers(0, 2**63, len(self.vocabulary) + 1, np.uint64) * np.uint64(2)
+        x = self.prints_of(self.text.split())
         raw = np.frombuffer(self.text, np.uint8)
         self.begin = np.concatenate([[0], np.flatnonzero(raw == 32) + 1]).astype(np.int64)  # of each word, and the end
         size = np.array(sizes, np.int64)
@@ -107,14 +114,19 @@ class Windows:
             bits.add(h)
             self.tables[n] = bits, h, start, owner[start].astype(np.int32)
 
+    def prints_of(self, words: list[bytes]):
+        import numpy as np
+
+        return self.codes[np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))]
+
     def words_at(self, start: int, n: int) -> bytes:
         return self.text[self.begin[start] : self.begin[start + n] - 1]
 
-    def scan(self, words: list[bytes], ids: WordIds):
+    def scan(self, words: list[bytes]):
         """Which words are inside a window, and the items found."""
         import numpy as np
 
-        x, hit, items = word_prints(words, ids), None, set()
+        x, hit, items = self.prints_of(words), None, set()
         for n, (bits, keys, start, owner) in self.tables.items():
             h, known = prints(x, n), {}
             for i in np.flatnonzero(bits.has(h)).tolist():
@@ -183,15 +195,12 @@ def _broadcast(docs, tests, text, width, texts, found):
 
     items = [(r[0], r[1].encode()) for r in tests.collect()]  # at most broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
-    made: list = []
 
     def scan(column):
-        if not made:
-            made.append(WordIds())
         rows = []
         for x in strings(column):
             words = x.translate(ALNUM_TABLE).split()
-            rows.append(_row(x, words, *shared.value.scan(words, made[0]), texts))
+            rows.append(_row(x, words, *shared.value.scan(words), texts))
         return pa.array(rows, ARROW_RESULT())
 
     return docs.withColumn(found, F.arrow_udf(scan, StructType.fromDDL(RESULT)).asNondeterministic()(F.col(f"`{text}`").cast("string")))

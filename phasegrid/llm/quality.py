@@ -11,8 +11,10 @@ of a document is the sum of log(target / raw) over its n-grams. With Gumbel nois
 replacement in proportion to the importances; k is the share of good labels
 times the number of documents. Reruns agree.
 
-Texts are read twice, once to count and once to score; the scores are kept in
-a table in the shared folder. The k-th key is found by counting keys in ranges
+Texts are read twice, once to count and once to score, where the result has
+few other columns (`keep`): it is then kept in a table in the shared folder. A
+result with the texts themselves isn't copied there but scored again from the
+input. The k-th key is found by counting keys in ranges
 that narrow, never by sorting or collecting them. Models are of fixed size.
 
 Defined cases: a null or empty text has importance 0; very long texts count
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import Scratch, WordIds, strings
+from phasegrid.llm.common import WordIds, cut, strings
 
 BITS, PRIOR, MAX_LABELS, SEED = 16, 64.0, 20_000, 6
 RANGES = 4096
@@ -139,7 +141,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("importance", "sample_key", "kept")]
     noise = gumbel(doc_id).alias("sample_key")
     scored = docs.select(*[f"`{c}`" for c in names], udf(F.col(f"`{text}`").cast("string")).alias("importance"), noise)
-    scored = Scratch(scored.withColumn("sample_key", F.col("importance") + F.col("sample_key")), "scores").read()
-    least = kth_largest(scored.select("sample_key"), "sample_key", round(scored.count() * n_good / n)) if n else None
+    scored = scored.withColumn("sample_key", F.col("importance") + F.col("sample_key"))
+    if text in names:
+        keys = cut(scored.select("sample_key"))
+    else:
+        keys = scored = cut(scored)
+    least = kth_largest(keys.select("sample_key"), "sample_key", round(keys.count() * n_good / n)) if n else None
     kept = F.lit(True) if least is None else F.col("sample_key") >= F.lit(least)
     return scored.withColumn("kept", kept)

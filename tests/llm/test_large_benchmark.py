@@ -8,7 +8,6 @@ import numpy as np
 from llm_helpers import bag
 
 from phasegrid.llm import decontaminate as d
-from phasegrid.llm.common import WordIds
 
 FIELDS = ("doc_id", "n_words", "n_hit", "items", "spans", "clean_text", "contaminated")
 
@@ -21,11 +20,12 @@ def test_ten_megabytes_fit_a_worker():
     began = time.time()
     made = d.Windows(items, 8)
     assert time.time() - began < 60
-    size = len(made.text) + made.begin.nbytes + sum(b.bits.nbytes + sum(x.nbytes for x in rest) for b, *rest in made.tables.values())
+    words = sum(sys.getsizeof(w) + 32 for w in made.vocabulary) + sys.getsizeof(made.vocabulary)
+    size = words + made.codes.nbytes + len(made.text) + made.begin.nbytes + sum(b.bits.nbytes + sum(x.nbytes for x in rest) for b, *rest in made.tables.values())
     assert size < 100 << 20 and sys.getsizeof(made.names) < 1 << 20
     for i in (0, 77, 9_999):
         own = items[i][1].split()
-        hit, found = made.scan([b"no", *own[20:40], b"no"], WordIds())
+        hit, found = made.scan([b"no", *own[20:40], b"no"])
         assert found == {str(i)} and hit.tolist() == [False] + [True] * 20 + [False]
     bits = made.tables[8][0]
     assert bits.has(np.random.default_rng(1).integers(0, 2**63, 100_000, np.uint64) * np.uint64(2)).mean() < 0.1
@@ -52,4 +52,4 @@ def test_both_ways_agree_and_verify(spark, monkeypatch):
                 grams.setdefault(tuple(t[j : j + min(8, len(t))]), set()).add(str(item))
         texts = [w.decode() for w in own]
         expected = set().union(*(v for g, v in grams.items() if any(tuple(texts[j : j + len(g)]) == g for j in range(len(texts)))))
-        assert windows.scan(own, WordIds())[1] == expected
+        assert windows.scan(own)[1] == expected
