@@ -68,10 +68,17 @@ def crop(phase: DataFrame, top: int, left: int, bottom: int, right: int) -> Data
 
 def nearest(phase: DataFrame, xfactor: float, yfactor: float) -> DataFrame:
     """Nearest-neighbour resampling: the value of each new cell is that of
-    the old cell that holds its centre. Factors are new cells to old ones."""
-    rows = phase.withColumn("row_", F.ceil((F.col("row") / yfactor) - 0.5).cast("int")).withColumn("col_", F.ceil((F.col("col") / xfactor) - 0.5).cast("int"))
-    holds = (F.floor((F.col("row_") + 0.5) * yfactor) == F.col("row")) & (F.floor((F.col("col_") + 0.5) * xfactor) == F.col("col"))
-    return rows.filter(holds).select("ifg_id", F.col("row_").alias("row"), F.col("col_").alias("col"), "phase")
+    the old cell that holds its centre. Factors are old cells to a new one;
+    below 1 they give an old cell to several new ones."""
+
+    def held(old: str, factor: float):
+        """The new cells whose centres the old cell holds."""
+        first = F.ceil(F.col(old) / factor - 0.5).cast("int") - 1
+        near = F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.ceil((F.col(old) + 1) / factor - 0.5).cast("int"), F.lit(0)))
+        return F.filter(near, lambda new: F.floor((new + 0.5) * factor) == F.col(old))
+
+    rows = phase.withColumn("row_", F.explode(held("row", yfactor))).withColumn("col_", F.explode(held("col", xfactor)))
+    return rows.select("ifg_id", F.col("row_").alias("row"), F.col("col_").alias("col"), "phase")
 
 
 def nan_fraction(phase: DataFrame) -> DataFrame:

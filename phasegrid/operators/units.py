@@ -55,6 +55,12 @@ def mask_rate(rates: DataFrame, maxsig: float) -> DataFrame:
     return rates.withColumn("rate", F.when(over, None).otherwise(F.col("rate"))).withColumn("error", F.when(over, None).otherwise(F.col("error")))
 
 
+def masked_percent(rates: DataFrame, maxsig: float) -> DataFrame:
+    """Percent of the pixels with an error whose error exceeds maxsig."""
+    over = F.when(F.col("error").isNotNull(), (F.col("error") > maxsig).cast("int"))
+    return rates.agg((F.avg(over) * 100).alias("masked_percent"))
+
+
 def masked_share(rates: DataFrame) -> DataFrame:
     """Percent of pixels without a rate."""
     return rates.agg((F.avg(F.col("rate").isNull().cast("int")) * 100).alias("masked_percent"))

@@ -50,6 +50,19 @@ def query(sql: str | None = None, recursive: bool = False):
     return register
 
 
+def solved(rows: str) -> str:
+    """SQL of Gauss and Jordan's elimination: of `rows` (key, m: a list of n
+    rows of numbers, the right-hand side last; n) the CTE solution (key, x)."""
+    return f"""
+gj AS (
+  SELECT key, n, 1 AS k, m FROM ({rows})
+  UNION ALL
+  SELECT key, n, k + 1, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 2), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END)) FROM gj WHERE k <= n
+),
+solution AS (SELECT key, list_transform(range(1, n + 1), lambda i: m[i][n + 1]) AS x FROM gj WHERE k = n + 1)
+"""
+
+
 def r(c, n: int = 6):
     """Rounded, so that the order of sums doesn't show: to where the exact
     value is never, or hardly ever, half way."""
@@ -294,7 +307,18 @@ def linear_rate(spark, sf):
     return out.select("row", "col", *[r(c).alias(c) for c in ("rate", "intercept", "r2", "error")], "samples")
 
 
-@query()
+def _products(terms: list[str], value: str) -> str:
+    """SQL of the normal equations of a model with these terms."""
+    return "[" + ", ".join("[" + ", ".join(f"sum(({a}) * ({b}))" for b in [*terms, value]) + "]" for a in terms) + "]"
+
+
+@query(
+    LINEAR
+    + f""", q AS (SELECT "row", col, count(tscuml) AS n, {_products(["1.0::DOUBLE", "span", "sin(2 * pi() * span)", "cos(2 * pi() * span)"], "tscuml")} AS m FROM z JOIN ep USING (epoch_idx) WHERE tscuml IS NOT NULL GROUP BY "row", col),
+{solved('SELECT "row" * 1000 + col AS key, m, 4::BIGINT AS n FROM q WHERE n >= 4').strip()}
+SELECT "row", col, CASE WHEN n >= 4 THEN list_transform(x, lambda v: round(v, 4)) END AS coefficients FROM q LEFT JOIN solution ON key = "row" * 1000 + col""",
+    recursive=True,
+)
 def annual_trend(spark, sf):
     """Coefficients of a line and a yearly cycle."""
     series, epoch = _sequential(spark, sf)
@@ -603,7 +627,26 @@ def pixel_angles(spark, sf):
     return out.select("row", "col", "range_dist", r("look_angle").alias("look_angle"), r("incidence_angle").alias("incidence_angle"))
 
 
-@query()
+GEODESIC = """,
+a AS (SELECT *, acos((7152000.0::DOUBLE ** 2 + rd ** 2 - re ** 2) / (2 * 7152000.0::DOUBLE * rd)) AS look, pi() - acos((rd ** 2 + (re + h) ** 2 - 7152000.0::DOUBLE ** 2) / (2 * rd * (re + h))) AS incidence FROM e),
+s0 AS (SELECT *, radians(150.9::DOUBLE + col * 0.0008::DOUBLE) AS lon, incidence - look AS centre, radians(-165.0::DOUBLE) + radians(90.0::DOUBLE) AS az FROM a),
+s1 AS (SELECT *, asin(-(sin(centre) * sin(az))) / cos(lat) + lon AS lon2 FROM s0),
+s2 AS (SELECT *, -pi() / 2 + 2 * atan(cos(0.5 * (az + lon2 - lon)) / cos(0.5 * (az - lon2 + lon)) * tan(0.5 * (pi() / 2 + lat - centre))) AS lat2, (6378137.0::DOUBLE - 6356752.3141) / 6378137.0 AS f FROM s1),
+u AS (SELECT "row", col, f, lon2 - lon AS omega, atan((1 - f) * tan(lat)) AS u1, atan((1 - f) * tan(lat2)) AS u2 FROM s2),
+v AS (
+  SELECT 0 AS i, *, omega AS lam FROM u
+  UNION ALL
+  SELECT i + 1, "row", col, f, omega, u1, u2, omega + (1 - c) * f * sin_a * (sigma + c * sin_s * (middle + c * cos_s * (2 * middle ** 2 - 1)))
+  FROM (SELECT *, cos_s - 2 * sin(u1) * sin(u2) / (1 - sin_a ** 2) AS middle, f / 16 * (1 - sin_a ** 2) * (4 + f * (4 - 3 * (1 - sin_a ** 2))) AS c
+    FROM (SELECT *, atan2(sin_s, cos_s) AS sigma, cos(u1) * cos(u2) * sin(lam) / sin_s AS sin_a
+      FROM (SELECT *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS sin_s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cos_s FROM v WHERE i < 25)))
+),
+o AS (SELECT "row", col, atan2(cos(u2) * sin(lam), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) AS a FROM v WHERE i = 25)
+SELECT "row", col, round(CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END, 6) AS azimuth_angle FROM o
+"""
+
+
+@query(ANGLES.rstrip() + GEODESIC, recursive=True)
 def azimuth_angles(spark, sf):
     """Azimuth to the satellite along a geodesic, by iteration."""
     phase, _ = stack(spark, sf)
@@ -664,7 +707,18 @@ def event_rates(spark, sf):
     return out.select("user_id", r("rate", 2).alias("rate"), r("intercept", 3).alias("intercept"), "samples")
 
 
-@query()
+EPOCH_BASELINES = f"""
+WITH e AS (SELECT a.epoch_idx AS u, b.epoch_idx AS v, ((ifg_id * 37) % 101 - 50)::DOUBLE AS d FROM ifgs JOIN ep a ON a.date = first_date JOIN ep b ON b.date = second_date),
+h AS (SELECT u AS i, v AS j, -d AS y FROM e UNION ALL SELECT v, u, d FROM e),
+c AS (SELECT a.epoch_idx AS i, b.epoch_idx AS j, CASE WHEN a.epoch_idx = b.epoch_idx THEN (SELECT count(*) FROM h WHERE h.i = a.epoch_idx) + (a.epoch_idx = 0)::INT ELSE -(SELECT count(*) FROM h WHERE h.i = a.epoch_idx AND h.j = b.epoch_idx) END::DOUBLE AS w FROM ep a, ep b),
+y AS (SELECT epoch_idx AS i, coalesce((SELECT sum(y) FROM h WHERE h.i = epoch_idx), 0)::DOUBLE AS y FROM ep),
+rws AS (SELECT c.i, list_append(list(w ORDER BY j), any_value(y.y)) AS row FROM c JOIN y USING (i) GROUP BY c.i),
+{solved("SELECT 0 AS key, list(row ORDER BY i) AS m, count(*)::BIGINT AS n FROM rws").strip()}
+SELECT (i - 1)::INT AS epoch_idx, round(x[i], 6) AS bperp FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM solution)
+"""
+
+
+@query(EPOCH_BASELINES, recursive=True)
 def epoch_baselines(spark, sf):
     """Baselines of the epochs from those of the interferograms."""
     _, ifgs = stack(spark, sf)
@@ -673,7 +727,14 @@ def epoch_baselines(spark, sf):
     return spark.createDataFrame([(i, round(b, 6)) for i, b in enumerate(found)], "epoch_idx int, bperp double")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT ifg_id, a.epoch_idx AS u, b.epoch_idx AS v, row_number() OVER (ORDER BY ifg_id % 5, ifg_id) AS pos FROM ifgs JOIN ep a ON a.date = first_date JOIN ep b ON b.date = second_date),
+reach AS (SELECT pos, u AS node FROM e UNION SELECT t.pos, CASE WHEN e.u = t.node THEN e.v ELSE e.u END FROM reach t JOIN e ON e.pos < t.pos AND (e.u = t.node OR e.v = t.node)),
+tree AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM reach t WHERE t.pos = e.pos AND t.node = e.v)),
+n AS (SELECT ((SELECT count(*) FROM ep) - (SELECT count(*) FROM tree))::INT AS n_trees)
+SELECT ifg_id, n_trees = 1 AS is_tree, n_trees FROM tree, n""",
+    recursive=True,
+)
 def network_tree(spark, sf):
     """The network's minimum spanning tree."""
     _, ifgs = stack(spark, sf)
