@@ -437,14 +437,41 @@ def orbital_planar(spark, sf):
     return out.select("ifg_id", "row", "col", r("orbit", 5).alias("orbit"), r(F.col("phase") - F.col("orbit"), 5).alias("phase"))
 
 
-@query()
+QUADRATIC = ["x * x", "y * y", "x * y", "x", "y", "1.0::DOUBLE"]
+
+
+@query(
+    f"""WITH t AS (SELECT ifg_id, "row", col, phase, (col - 7.5::DOUBLE) / 8 AS x, ("row" - 5.5::DOUBLE) / 6 AS y FROM phase),
+q AS (SELECT ifg_id, {_products(QUADRATIC, "phase")} AS m FROM t WHERE phase IS NOT NULL GROUP BY ifg_id),
+{solved("SELECT ifg_id AS key, m, 6::BIGINT AS n FROM q").strip()},
+f AS (SELECT ifg_id, "row", col, phase - (s.x[1] * t.x * t.x + s.x[2] * t.y * t.y + s.x[3] * t.x * t.y + s.x[4] * t.x + s.x[5] * t.y + s.x[6]) AS left_over FROM t JOIN solution s ON key = ifg_id),
+d AS (SELECT ifg_id, median(left_over) AS shift FROM f GROUP BY ifg_id)
+SELECT ifg_id, "row", col, round(left_over + shift, 3) AS phase FROM f JOIN d USING (ifg_id)""",
+    recursive=True,
+)
 def orbital_quadratic(spark, sf):
     phase, _ = stack(spark, sf)
     out = orbital.corrected(orbital.independent(phase, GRID, "quadratic", offset=True))
     return out.select("ifg_id", "row", "col", r("phase", 3).alias("phase"))
 
 
-@query()
+#: In a tree each interferogram's own ramp is the difference of its epochs'.
+NETWORK = PLANE.rstrip() + """,
+e AS (SELECT ifg_id, a.epoch_idx AS u, b.epoch_idx AS v, row_number() OVER (ORDER BY ifg_id % 5, ifg_id) AS pos FROM ifgs JOIN ep a ON a.date = first_date JOIN ep b ON b.date = second_date),
+reach AS (SELECT pos, u AS node FROM e UNION SELECT t.pos, CASE WHEN e.u = t.node THEN e.v ELSE e.u END FROM reach t JOIN e ON e.pos < t.pos AND (e.u = t.node OR e.v = t.node)),
+tree AS (SELECT u, v, a, b, mp - a * mx - b * my AS c FROM e JOIN c USING (ifg_id) WHERE NOT EXISTS (SELECT 1 FROM reach t WHERE t.pos = e.pos AND t.node = e.v)),
+walk AS (
+  SELECT 0 AS node, -1 AS before, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+  UNION ALL
+  SELECT CASE WHEN t.u = w.node THEN t.v ELSE t.u END, w.node, w.a + CASE WHEN t.u = w.node THEN t.a ELSE -t.a END, w.b + CASE WHEN t.u = w.node THEN t.b ELSE -t.b END, w.c + CASE WHEN t.u = w.node THEN t.c ELSE -t.c END
+  FROM walk w JOIN tree t ON (t.u = w.node AND t.v <> w.before) OR (t.v = w.node AND t.u <> w.before)
+),
+d AS (SELECT ifg_id, s.a - f.a AS a, s.b - f.b AS b, s.c - f.c AS c FROM e JOIN walk f ON f.node = e.u JOIN walk s ON s.node = e.v)
+SELECT ifg_id, "row", col, round(phase - (d.a * x + d.b * y + d.c), 4) AS phase FROM t JOIN d USING (ifg_id)
+"""
+
+
+@query(NETWORK, recursive=True)
 def orbital_network(spark, sf):
     phase, ifgs = stack(spark, sf)
     out = orbital.corrected(orbital.by_network(phase, GRID, network_of(ifgs), "planar"))
