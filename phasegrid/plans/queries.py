@@ -610,7 +610,39 @@ def atmosphere(spark, sf):
     return aps.correction(low, spans).select("ifg_id", "row", "col", r("aps", 4).alias("aps"))
 
 
-@query()
+def _misfit(x: str) -> str:
+    """SQL of the distance of means m, a bin apart, to an exponential decay."""
+    return f"sqrt(list_sum(list_transform(range(1, len(m) + 1), lambda i: (m[i] - m[1] * exp(-({x}) * ((i - 1) * 0.184::DOUBLE))) ** 2)))"
+
+
+#: The lags of half the plane, in circles; then the simplex search, step by step.
+DECAY = f"""
+WITH z AS (SELECT ifg_id, "row", col, phase FROM phase WHERE phase IS NOT NULL),
+n AS (SELECT ifg_id, count(*) FILTER (phase <> 0) AS n FROM z GROUP BY ifg_id),
+k AS (SELECT kr::INT AS kr, kc::INT AS kc, sqrt(((kc - 8) * 74.0::DOUBLE) ** 2 + ((kr - 6) * 92.0::DOUBLE) ** 2) / 1000 AS d FROM (SELECT unnest(range(12)) AS kr), (SELECT unnest(range(16)) AS kc) WHERE kc * 12 + kr < 108),
+g AS (SELECT kr, kc, ceil(d / 0.184::DOUBLE)::INT AS bin FROM k WHERE d < 0.644::DOUBLE),
+ac AS (SELECT a.ifg_id, kr, kc, bin, sum(a.phase * b.phase) AS s FROM z a, g, z b WHERE b.ifg_id = a.ifg_id AND b."row" = (a."row" + kr + 6) % 12 AND b.col = (a.col + kc + 8) % 16 GROUP BY ALL),
+v AS (SELECT ifg_id, bin, s / n AS v FROM ac JOIN n USING (ifg_id)),
+l AS (SELECT greatest(1, max(bin) - 1) AS last FROM g),
+ms AS (SELECT ifg_id, list(m ORDER BY bin) AS m FROM (SELECT ifg_id, bin, avg(v) AS m FROM v GROUP BY ALL), l WHERE bin <= last GROUP BY ifg_id),
+i AS (SELECT ifg_id, m, 2 / (last * 0.184::DOUBLE) AS a, 2 / (last * 0.184::DOUBLE) * 1.05::DOUBLE AS b FROM ms, l),
+st AS (
+  SELECT ifg_id, m, 0 AS step, a, b, {_misfit("a")} AS fa, {_misfit("b")} AS fb, false AS done FROM i
+  UNION ALL
+  SELECT ifg_id, m, step + 1, a, CASE WHEN stop THEN b WHEN fx < fa THEN CASE WHEN ff < fx THEN far ELSE x END WHEN fn <= least(fx, fb) THEN near ELSE a + 0.5 * (b - a) END,
+    fa, CASE WHEN stop THEN fb WHEN fx < fa THEN least(ff, fx) WHEN fn <= least(fx, fb) THEN fn ELSE fs END, stop
+  FROM (SELECT *, {_misfit("near")} AS fn, {_misfit("a + 0.5 * (b - a)")} AS fs, abs(b - a) <= 1e-6 AND abs(fb - fa) <= 1e-6 AS stop
+    FROM (SELECT *, CASE WHEN fx < fb THEN 1.5 * a - 0.5 * b ELSE 0.5 * (a + b) END AS near
+      FROM (SELECT *, {_misfit("x")} AS fx, {_misfit("far")} AS ff
+        FROM (SELECT *, 2 * a - b AS x, 3 * a - 2 * b AS far
+          FROM (SELECT ifg_id, m, step, CASE WHEN fb < fa THEN b ELSE a END AS a, CASE WHEN fb < fa THEN a ELSE b END AS b, least(fa, fb) AS fa, greatest(fa, fb) AS fb FROM st WHERE NOT done AND step < 200)))))
+),
+al AS (SELECT ifg_id, arg_max(CASE WHEN fa <= fb THEN a ELSE b END, step) AS alpha FROM st GROUP BY ifg_id)
+SELECT ifg_id, round(max(v), 3) AS maxvar, round(any_value(alpha), 2) AS alpha FROM v JOIN al USING (ifg_id) GROUP BY ifg_id
+"""
+
+
+@query(DECAY, recursive=True)
 def distance_covariance(spark, sf):
     """Variance at lag zero and its decay with distance."""
     phase, _ = stack(spark, sf)
