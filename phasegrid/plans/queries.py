@@ -333,7 +333,34 @@ def quadratic_trend(spark, sf):
     return out.select("row", "col", r(F.col("coefficients")[2], 4).alias("curvature"))
 
 
-@query()
+#: Whitening from the last observation to the first, of spans and phases at
+#: once; the worst residual goes until none is above the limit.
+ROBUST = f"""
+WITH {REACH.strip()},
+w AS (SELECT list(own ORDER BY i) AS w FROM (
+  SELECT i, list(value ORDER BY j) AS own FROM (
+    SELECT a.ifg_id AS i, b.ifg_id AS j, (0.5 * ((a.first_date = b.first_date)::INT + (a.second_date = b.second_date)::INT) - 0.5 * (a.first_date = b.second_date OR a.second_date = b.first_date)::INT) * sqrt({VARIANCE.replace("ifg_id", "a.ifg_id")} * {VARIANCE.replace("ifg_id", "b.ifg_id")}) AS value FROM ifgs a, ifgs b) GROUP BY i)),
+o AS (SELECT "row", col, list(ifg_id + 1 ORDER BY ifg_id) AS ids, list(time_span ORDER BY ifg_id) AS s0, list(tree.phase ORDER BY ifg_id) AS y0 FROM tree JOIN ifgs USING (ifg_id) GROUP BY ALL),
+st AS (
+  SELECT "row", col, len(ids) AS n0, ids, s0, y0, len(ids) AS k, list_transform(ids, lambda i: list_transform(ids, lambda j: w[i][j])) AS v, s0 AS s, y0 AS y, []::DOUBLE[] AS zs, []::DOUBLE[] AS zy FROM o, w
+  UNION ALL
+  SELECT "row", col, n0, kept, list_transform(left_over, lambda i: s0[i]), list_transform(left_over, lambda i: y0[i]), CASE WHEN k > 0 THEN k - 1 ELSE len(kept) END,
+    CASE WHEN k > 0 THEN list_transform(range(1, k), lambda i: list_transform(range(1, k), lambda j: v[i][j] - v[i][k] * v[k][j] / v[k][k])) ELSE list_transform(kept, lambda i: list_transform(kept, lambda j: w[i][j])) END,
+    CASE WHEN k > 0 THEN list_transform(range(1, k), lambda i: s[i] - v[i][k] / v[k][k] * s[k]) ELSE list_transform(left_over, lambda i: s0[i]) END,
+    CASE WHEN k > 0 THEN list_transform(range(1, k), lambda i: y[i] - v[i][k] / v[k][k] * y[k]) ELSE list_transform(left_over, lambda i: y0[i]) END,
+    CASE WHEN k > 0 THEN list_prepend(s[k] / sqrt(v[k][k]), zs) ELSE [] END, CASE WHEN k > 0 THEN list_prepend(y[k] / sqrt(v[k][k]), zy) ELSE [] END
+  FROM (SELECT *, list_transform(left_over, lambda i: ids[i]) AS kept
+    FROM (SELECT *, list_filter(range(1, len(ids) + 1), lambda i: k > 0 OR i <> list_position(far, list_max(far))) AS left_over
+      FROM (SELECT *, list_transform(range(1, len(zs) + 1), lambda i: abs(zs[i] * list_dot_product(zs, zy) / list_dot_product(zs, zs) - zy[i])) AS far FROM st)
+      WHERE k > 0 OR (list_max(far) > 50 AND len(ids) >= 3))), w
+),
+f AS (SELECT *, list_dot_product(zs, zs) AS norm, list_max(list_transform(range(1, len(zs) + 1), lambda i: abs(zs[i] * list_dot_product(zs, zy) / list_dot_product(zs, zs) - zy[i]))) AS worst FROM st WHERE k = 0)
+SELECT "row", col, CASE WHEN len(ids) >= 3 THEN round(list_dot_product(zs, zy) / norm, 6) END AS rate, CASE WHEN len(ids) >= 3 THEN round(1 / sqrt(norm), 6) END AS error, CASE WHEN len(ids) >= 3 THEN len(ids) ELSE n0 END::INT AS samples
+FROM f WHERE len(ids) < 3 OR worst <= 50
+"""
+
+
+@query(ROBUST, recursive=True)
 def stack_rate(spark, sf):
     """Robust weighted rate of each pixel over its spanning tree."""
     phase, ifgs = stack(spark, sf)
