@@ -260,7 +260,29 @@ def time_series(spark, sf):
     return series.select("row", "col", "epoch_idx", *[r(c).alias(c) for c in ("velocity", "tsincr", "tscuml")])
 
 
-@query()
+#: For pixels whose tree spans all epochs. Least squares with the covariance v
+#: of the observations and smoothing g as one symmetric system: v l + b x = d
+#: and b' l = g x.
+SMOOTHED = f"""
+WITH {REACH.strip()},
+gap AS (SELECT list(gap ORDER BY epoch_idx) AS gap, count(*) AS n FROM (SELECT epoch_idx, span - lag(span) OVER (ORDER BY epoch_idx) AS gap FROM ep) WHERE gap IS NOT NULL),
+w AS (SELECT list(own ORDER BY i) AS w FROM (
+  SELECT i, list(value ORDER BY j) AS own FROM (
+    SELECT a.ifg_id AS i, b.ifg_id AS j, (0.5 * ((a.first_date = b.first_date)::INT + (a.second_date = b.second_date)::INT) - 0.5 * (a.first_date = b.second_date OR a.second_date = b.first_date)::INT) * sqrt({VARIANCE.replace("ifg_id", "a.ifg_id")} * {VARIANCE.replace("ifg_id", "b.ifg_id")}) AS value FROM ifgs a, ifgs b) GROUP BY i)),
+g AS (SELECT list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j:
+    (CASE WHEN i = 1 THEN 1 ELSE -1.0 / (n - 1) END * CASE WHEN j = 1 THEN 1 ELSE -1.0 / (n - 1) END + CASE WHEN i = n THEN 1 ELSE -1.0 / (n - 1) END * CASE WHEN j = n THEN 1 ELSE -1.0 / (n - 1) END
+    + 0.01::DOUBLE * CASE WHEN i = j THEN CASE WHEN i IN (1, n) THEN 1 ELSE 2 END WHEN abs(i - j) = 1 THEN -1 ELSE 0 END)::DOUBLE)) AS g FROM gap),
+o AS (SELECT "row", col, list(ifg_id + 1 ORDER BY ifg_id) AS ids, list(u ORDER BY ifg_id) AS us, list(v ORDER BY ifg_id) AS vs, list(phase ORDER BY ifg_id) AS d FROM tree GROUP BY ALL),
+{solved("""SELECT "row" * 1000 + col AS key, 2 * n AS n, list_concat(
+    list_transform(range(1, n + 1), lambda i: list_concat(list_transform(ids, lambda j: w[ids[i]][j]), list_transform(range(1, n + 1), lambda c: CASE WHEN us[i] < c AND c <= vs[i] THEN gap[c] ELSE 0 END), [d[i]])),
+    list_transform(range(1, n + 1), lambda c: list_concat(list_transform(range(1, n + 1), lambda i: CASE WHEN us[i] < c AND c <= vs[i] THEN gap[c] ELSE 0 END), list_transform(range(1, n + 1), lambda j: -g[c][j]), [0.0::DOUBLE]))) AS m
+  FROM o, w, g, gap WHERE len(ids) = n""").strip()}
+SELECT key // 1000 AS "row", key % 1000 AS col, c::INT AS epoch_idx, round(list_sum(list_transform(range(1, c + 1), lambda i: x[n + i] * gap[i])), 4) AS tscuml
+FROM (SELECT key, x, gap, n, unnest(range(1, n + 1)) AS c FROM solution, gap)
+"""
+
+
+@query(SMOOTHED, recursive=True)
 def time_series_laplacian(spark, sf):
     """The same by smoothing."""
     phase, ifgs = stack(spark, sf)
