@@ -649,7 +649,27 @@ def temporal_filter(spark, sf):
     return out.filter(F.col("high").isNotNull()).select("row", "col", "epoch_idx", r("high").alias("high"))
 
 
-@query()
+#: The transform's low-pass as sums: a Gaussian of the frequency is a product
+#: of one of rows and one of columns, and so is its kernel among 4096 cells.
+ATMOSPHERE = SERIES[: SERIES.rindex("SELECT")].rstrip() + """,
+ti AS (SELECT epoch_idx, lag(span) OVER (ORDER BY epoch_idx) + (span - lag(span) OVER (ORDER BY epoch_idx)) / 2 AS t FROM ep),
+hi AS (
+  SELECT a."row", a.col, a.epoch_idx, any_value(a.tsincr) - sum(b.tsincr * exp(-0.5 * ((tb.t - ta.t) / (600 / 365.25::DOUBLE)) ** 2)) / sum(exp(-0.5 * ((tb.t - ta.t) / (600 / 365.25::DOUBLE)) ** 2)) AS h
+  FROM steps a JOIN ti ta USING (epoch_idx) JOIN steps b ON a."row" = b."row" AND a.col = b.col AND b.epoch_idx > 0 JOIN ti tb ON tb.epoch_idx = b.epoch_idx WHERE a.epoch_idx > 0 GROUP BY a."row", a.col, a.epoch_idx
+),
+gr AS (SELECT epoch_idx, r::INT AS "row", c::INT AS col FROM ep, (SELECT unnest(range(12)) AS r), (SELECT unnest(range(16)) AS c) WHERE epoch_idx > 0),
+fl AS (SELECT epoch_idx, "row", col, h FROM (
+  SELECT g.epoch_idx, g."row", g.col, n.h, row_number() OVER (PARTITION BY g.epoch_idx, g."row", g.col ORDER BY (n."row" - g."row") ** 2 + (n.col - g.col) ** 2, n."row", n.col) AS k FROM gr g JOIN hi n USING (epoch_idx)) WHERE k = 1),
+sg AS (SELECT sqrt(avg(d2) - avg(sqrt(d2)) ** 2) AS sigma FROM (SELECT ((i - 2048) / 1000::DOUBLE * 74) ** 2 + ((j - 2048) / 1000::DOUBLE * 92) ** 2 AS d2 FROM (SELECT unnest(range(4096)) AS i), (SELECT unnest(range(4096)) AS j))),
+kn AS (SELECT m, sum(exp(-0.5 * (k / 1000::DOUBLE * 74 / sigma) ** 2) * cos(2 * pi() * k * m / 4096)) / 4096 AS wx, sum(exp(-0.5 * (k / 1000::DOUBLE * 92 / sigma) ** 2) * cos(2 * pi() * k * m / 4096)) / 4096 AS wy
+  FROM (SELECT unnest(range(-2048, 2048)) AS k), (SELECT unnest(range(-15, 16)) AS m), sg GROUP BY m),
+lw AS (SELECT o.epoch_idx, o."row", o.col, sum(f.h * x.wx * y.wy) AS low FROM hi o JOIN fl f USING (epoch_idx) JOIN kn x ON x.m = o.col - f.col JOIN kn y ON y.m = o."row" - f."row" GROUP BY ALL),
+iv AS (SELECT ifg_id, e.epoch_idx FROM ifgs JOIN ep e ON e.date > first_date AND e.date <= second_date)
+SELECT ifg_id, gr."row", gr.col, CASE WHEN count(low) = count(*) THEN round(sum(low), 4) END AS aps FROM gr JOIN iv USING (epoch_idx) LEFT JOIN lw USING (epoch_idx, "row", col) GROUP BY ifg_id, gr."row", gr.col
+"""
+
+
+@query(ATMOSPHERE, recursive=True)
 def atmosphere(spark, sf):
     """The atmospheric correction of each interferogram."""
     series, ifgs, net = _series(spark, sf)
