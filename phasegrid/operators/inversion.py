@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import kernels
 from phasegrid.model import Network
-from phasegrid.operators.network import epochs, intervals, spanning_tree
+from phasegrid.operators.network import PATTERNS, epochs, intervals, spanning_tree
 
 
 def velocities(stack: DataFrame, network: Network, *, method: int = 2, least: int = 3, vcm=None, smooth_order: int = 1, smooth_factor: float = -1.0) -> DataFrame:
@@ -37,6 +37,8 @@ def velocities(stack: DataFrame, network: Network, *, method: int = 2, least: in
     def operator(use):
         key = use.tobytes()
         if key not in known:
+            if len(known) >= PATTERNS:
+                known.clear()
             rows, found = np.flatnonzero(use), None
             if len(rows) >= max(least, 1):
                 b = matrix[rows]

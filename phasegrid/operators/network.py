@@ -97,10 +97,14 @@ def pixel_stack(phase: DataFrame, n: int) -> DataFrame:
     return found.select("row", "col", F.transform(every, lambda i: F.try_element_at("m", i)).alias("phase"))
 
 
+#: Patterns of missing observations whose answers a worker keeps at once.
+PATTERNS = 4096
+
+
 def pixel_trees(stack: DataFrame, network: Network) -> DataFrame:
     """stack with mst (array of booleans): the spanning forest of each pixel's
     own observations. Pixels with the same observations share the answer, which
-    a worker computes once for each pattern it meets."""
+    a worker computes once for each pattern it meets and keeps for PATTERNS."""
     order = sorted(network.ifgs, key=lambda i: (i.weight, i.ifg_id))
     known: dict[bytes, list[bool]] = {}
 
@@ -119,6 +123,8 @@ def pixel_trees(stack: DataFrame, network: Network) -> DataFrame:
                 for i in order:
                     if own[i.ifg_id]:
                         kept[i.ifg_id] = sets.join(i.first, i.second)
+                if len(known) >= PATTERNS:
+                    known.clear()
                 known[key] = kept
             out[r] = known[key]
         ends = np.arange(0, n * (len(valid) + 1), n, dtype=np.int32)

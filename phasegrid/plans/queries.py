@@ -139,23 +139,6 @@ def nearest_resample(spark, sf):
     return rasters.nearest(phase, 2, 2).select("ifg_id", "row", "col", r("phase").alias("phase"))
 
 
-BOXES = 'WITH b AS (SELECT ifg_id, 150.9::DOUBLE + min(col) * 0.0008::DOUBLE AS x_first, 150.9::DOUBLE + (max(col) + 1) * 0.0008::DOUBLE AS x_last, -34.2::DOUBLE - min("row") * 0.0008::DOUBLE AS y_first, -34.2::DOUBLE - (max("row") + 1) * 0.0008::DOUBLE AS y_last FROM phase WHERE phase IS NOT NULL AND (ifg_id + "row") % 4 > 0 AND (ifg_id * 3 + col) % 5 > 0 GROUP BY ifg_id) '
-
-
-def _boxes(spark, sf):
-    phase, _ = stack(spark, sf)
-    kept = phase.filter(F.col("phase").isNotNull() & ((F.col("ifg_id") + F.col("row")) % 4 > 0) & ((F.col("ifg_id") * 3 + F.col("col")) % 5 > 0))
-    x, y = lambda c: F.lit(150.9) + c * F.lit(0.0008), lambda c: F.lit(-34.2) - c * F.lit(0.0008)
-    return kept.groupBy("ifg_id").agg(x(F.min("col")).alias("x_first"), x(F.max("col") + 1).alias("x_last"), y(F.min("row")).alias("y_first"), y(F.max("row") + 1).alias("y_last"))
-
-
-@query(BOXES + "SELECT 'intersection' AS how, round(max(x_first), 6) AS x_first, round(min(x_last), 6) AS x_last, round(min(y_first), 6) AS y_first, round(max(y_last), 6) AS y_last FROM b UNION ALL SELECT 'union', round(min(x_first), 6), round(max(x_last), 6), round(max(y_first), 6), round(min(y_last), 6) FROM b")
-def crop_extents(spark, sf):
-    boxes = _boxes(spark, sf)
-    out = [rasters.extents(boxes, how).select(F.lit(how).alias("how"), *[r(c).alias(c) for c in ("x_first", "x_last", "y_first", "y_last")]) for how in ("intersection", "union")]
-    return out[0].union(out[1])
-
-
 @query("SELECT epoch_idx, date, repeat, round(span, 6) AS span FROM ep")
 def epochs(spark, sf):
     _, ifgs = stack(spark, sf)

@@ -52,6 +52,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables that an earlier run of the chain left, lest they be taken
+    for this run's."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def grid_of(header: dict) -> Grid:
     """The grid of a header, with the size of its centre cell in metres."""
     out = Grid(header["NROWS"], header["NCOLS"], header["LONG"], header["LAT"], header["X_STEP"], header["Y_STEP"])
@@ -172,6 +180,7 @@ def prepifg(spark: SparkSession, config: Config) -> DataFrame:
         save(geometry.pixel_geometry(pixels, angle_meta(meta)), out, "geometry")
     else:
         log.info("no lookup table: no geometry")
+        discard(spark, out, "geometry")
     return phase
 
 
@@ -285,6 +294,7 @@ def correct(spark: SparkSession, config: Config) -> DataFrame:
     """Millimetres, the reference pixel, then the steps in order; the result
     of each is a table, so a step's plan starts from a scan."""
     out = config["outdir"]
+    discard(spark, out, "mst", "vcm")
     ifgs, grid = load(spark, out, "ifgs"), _grid(spark, out, "grid")
     phase = units.convert(load(spark, out, "phase"), ifgs.withColumn("units", F.lit("RADIANS")), nan_conversion=bool(config["nan_conversion"]), nodata=config["noDataValue"])
     phase = save(phase, out, "correct_0")
