@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from phasegrid.config import PARAMETERS, REQUIRED, Config, ConfigError
 from phasegrid.functions import kernels
 from phasegrid.operators import inversion, metadata, rasters, units
 from phasegrid.plans.queries import VARIANCE, query, r, stack
@@ -236,3 +237,44 @@ def stack_extents(spark, sf):
     boxes = phase.filter(F.col("phase").isNotNull()).groupBy("ifg_id").agg(x(F.min("col")).alias("x_first"), x(F.max("col") + 1).alias("x_last"), y(F.min("row")).alias("y_first"), y(F.max("row") + 1).alias("y_last"))
     out = [rasters.extents(boxes, how).select(F.lit(how).alias("how"), *[r(c).alias(c) for c in ("x_first", "x_last", "y_first", "y_last")]) for how in ("intersection", "union")]
     return out[0].union(out[1])
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, s_suppkey % 12 AS looks, 2 * (s_suppkey % 6) + s_suppkey % 7 // 6 + 1 AS chip, 1 + s_suppkey % 9 AS n FROM supplier),
+v AS (SELECT *, looks >= 1 AND chip % 2 = 1 AS valid FROM s)
+SELECT s_suppkey, valid, CASE WHEN valid THEN looks END::INT AS looks, CASE WHEN valid THEN chip END::INT AS chip, CASE WHEN valid THEN 2 END::INT AS steps,
+  CASE WHEN valid THEN [1, 1, 1, 2, 1, 2, 1, 2, 3][n]::INT * 100 + [1, 2, 3, 2, 5, 3, 7, 4, 3][n]::INT END::INT AS tiles FROM v"""
+)
+def configurations(spark, sf):
+    """Configuration files parsed, written and parsed again; those with a
+    value out of range or an even chip are errors."""
+    needed = "".join(f"{k}: x\n" for k, v in PARAMETERS.items() if v[1] is REQUIRED and k not in ("ifglksx", "refchipsize"))
+    text = F.concat(F.lit(needed + "# a comment\nifglksx: "), (F.col("s_suppkey") % 12).cast("string"), F.lit("\nrefchipsize = "), (2 * (F.col("s_suppkey") % 6) + F.floor(F.col("s_suppkey") % 7 / 6) + 1).cast("string"), F.lit("  # inline\nprocesses: "), (1 + F.col("s_suppkey") % 9).cast("string"), F.lit("\n[correct]\nsteps =\n  orbfit\n  refphase\n"))
+
+    def parse(x):
+        try:
+            c = Config.parse(Config.parse(x["text"]).text())
+        except ConfigError:
+            return {"s_suppkey": x["s_suppkey"], "valid": False, "looks": None, "chip": None, "steps": None, "tiles": None}
+        return {"s_suppkey": x["s_suppkey"], "valid": True, "looks": c["ifglksx"], "chip": c["refchipsize"], "steps": len(c.steps), "tiles": c.tiles[0] * 100 + c.tiles[1]}
+
+    return _parsed(read(spark, sf, "supplier").select("s_suppkey", text.alias("text")), parse, "s_suppkey long, valid boolean, looks int, chip int, steps int, tiles int")
+
+
+@query('SELECT ifg_id, round(regr_intercept(phase, x), 5) AS intercept, round(regr_slope(phase, x), 5) AS slope FROM (SELECT ifg_id, phase, col::DOUBLE AS x, unnest(range(1 + "row" % 3)) AS again FROM phase WHERE phase IS NOT NULL) GROUP BY ifg_id')
+def weighted_least_squares(spark, sf):
+    """A line along the columns of each image, rows with variances of 1, 1/2
+    and 1/3 (as if they were there once, twice and three times)."""
+
+    def fit(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        a = np.column_stack([np.ones(len(pdf)), pdf["col"]])
+        x = kernels.weighted_least_squares(a, pdf["phase"].to_numpy(), 1 / (1 + pdf["row"].to_numpy() % 3))
+        return pd.DataFrame({"ifg_id": [key[0]], "intercept": [x[0]], "slope": [x[1]]})
+
+    phase, _ = stack(spark, sf)
+    rows = phase.filter(F.col("phase").isNotNull()).select("ifg_id", "row", "col", "phase")
+    found = rows.groupBy("ifg_id").applyInPandas(fit, "ifg_id int, intercept double, slope double")
+    return found.select("ifg_id", r("intercept", 5).alias("intercept"), r("slope", 5).alias("slope"))
