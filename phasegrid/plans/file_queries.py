@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from phasegrid.config import PARAMETERS, REQUIRED, Config, ConfigError
-from phasegrid.functions import kernels
+from phasegrid.functions import geometry, kernels
 from phasegrid.operators import inversion, metadata, rasters, units
 from phasegrid.plans.queries import VARIANCE, query, r, stack
 from phasegrid.plans.tables import COLS, GRID, ROWS, read
@@ -278,3 +278,21 @@ def weighted_least_squares(spark, sf):
     rows = phase.filter(F.col("phase").isNotNull()).select("ifg_id", "row", "col", "phase")
     found = rows.groupBy("ifg_id").applyInPandas(fit, "ifg_id int, intercept double, slope double")
     return found.select("ifg_id", r("intercept", 5).alias("intercept"), r("slope", 5).alias("slope"))
+
+
+@query(
+    """WITH p AS (SELECT "row", col, max(round(phase, 3)) FILTER (ifg_id % 2 = 0) AS a, max(round(phase, 3)) FILTER (ifg_id % 2 = 1) AS b FROM phase GROUP BY "row", col),
+g AS (SELECT r::INT AS "row", c::INT AS col FROM (SELECT unnest(range(12)) AS r), (SELECT unnest(range(16)) AS c))
+SELECT (("row" - 1) // 3)::INT AS "row", ((col - 1) // 2)::INT AS col, nullif(coalesce(a, 0), 0) AS range_px, nullif(coalesce(b, 0), 0) AS azimuth_px FROM g LEFT JOIN p USING ("row", col) WHERE "row" % 3 = 1 AND col BETWEEN 1 AND 14 AND col % 2 = 1"""
+)
+def radar_lookup(spark, sf):
+    """A lookup table of pairs written and read back, at the middle of each
+    look window of a crop; 0 is no data. Its bands are the greatest phases of
+    the interferograms with even and with odd ids."""
+    phase, _ = stack(spark, sf)
+    bands = phase.groupBy("row", (2 * F.col("col") + F.col("ifg_id") % 2).alias("col")).agg(F.max("phase").alias("value")).filter("value IS NOT NULL")
+    folder = shared_folder(spark, "lookup")
+    files.save(files.images(bands.withColumn("name", F.lit("table")), ROWS, 2 * COLS, lambda _, image: files.gamma_bytes(image)), folder)
+    table = files.read_lookup(spark, f"{folder}/table", ROWS, COLS)
+    found = geometry.sampled_lookup(table, 2, 3, 1, 15, 0, ROWS)
+    return found.select("row", "col", r("range_px", 3).alias("range_px"), r("azimuth_px", 3).alias("azimuth_px"))
