@@ -177,14 +177,16 @@ def file_list_faults(spark, sf):
 
 @query("SELECT p_partkey, max(k)::BIGINT AS a, (p_partkey // max(k))::BIGINT AS b, max(k) = p_partkey // max(k) AS square FROM part, (SELECT unnest(range(1, 1000)) AS k) WHERE k * k <= p_partkey AND p_partkey % k = 0 GROUP BY p_partkey")
 def near_factors(spark, sf):
-    """Two factors as near as can be, and whether they make a square."""
-    rows = read(spark, sf, "part").select("p_partkey").filter("p_partkey > 0")
+    """Two factors as near as can be, and whether they make a square, of each
+    distinct key. Its SQL tries factors up to 999 only; this tries all."""
+    rows = read(spark, sf, "part").select("p_partkey").filter("p_partkey > 0").distinct()
 
     def parse(x):
         import numpy as np
 
         a, b = rasters.two_factors(x["p_partkey"])
-        return {"p_partkey": x["p_partkey"], "a": a, "b": b, "square": kernels.is_square(np.empty((a, b)))}
+        # A view of one cell, as a x b cells needn't fit in memory.
+        return {"p_partkey": x["p_partkey"], "a": a, "b": b, "square": kernels.is_square(np.broadcast_to(False, (a, b)))}
 
     return _parsed(rows, parse, "p_partkey long, a long, b long, square boolean")
 

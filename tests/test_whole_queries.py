@@ -18,3 +18,21 @@ def test_event_rates_of_any_day(spark, tmp_path):
         rate, intercept = np.polyfit([d / 365.25 for d in days[u]], np.cumsum([v for w, _, v in rows if w == u]), 1)
         assert r.samples == len(days[u])
         assert (r.rate, r.intercept) == (pytest.approx(rate, abs=0.006), pytest.approx(intercept, abs=0.0006))
+
+
+@pytest.mark.parametrize(
+    "keys, expected",
+    [
+        # A key that stands twice is one row, as in the SQL.
+        ([12, 12, 12, 49, 7, 49, 0, None], [(7, 1, 7, False), (12, 3, 4, False), (49, 7, 7, True)]),
+        # An array of as many cells as the key doesn't fit in memory.
+        ([1_000_002 * 500_000_003], [(500_001_003_000_006, 1_000_002, 500_000_003, False)]),
+        # Factors above 999, which the SQL doesn't try.
+        ([1_000_000, 1_001_000, 1_002_001], [(1_000_000, 1000, 1000, True), (1_001_000, 1000, 1001, False), (1_002_001, 1001, 1001, True)]),
+    ],
+    ids=["repeated", "large", "beyond the SQL's range"],
+)
+def test_near_factors_of_any_key(spark, tmp_path, keys, expected):
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES["near_factors"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == expected
